@@ -141,8 +141,8 @@ class SeenBags:
         return out
 
 
-def signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(U, copy=False).view(np.int64))
+def signed(x: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    return pa.array(x.astype(U, copy=False).view(np.int64), mask=null)
 
 
 def as_batches(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,12 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return leading_term(distinctive_terms(_t(spark, sf, "chunks"))).select("chunk_id", "term")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.llm.history import repeats
+
+    return repeats(_t(spark, sf, "chunks"), _t(spark, sf, "chunk_batches")).select("row_id")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from lectern.llm.nearcopies import near_pairs
 
