@@ -24,6 +24,18 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return repeats(_t(spark, sf, "chunks"), _t(spark, sf, "chunk_batches")).select("row_id")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.llm.splitting import cuts
+
+    return cuts(_t(spark, sf, "chunks"))
+
+
+def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.llm.splitting import pieces
+
+    return pieces(_t(spark, sf, "chunks"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from lectern.llm.nearcopies import near_pairs
 
