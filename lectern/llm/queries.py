@@ -48,5 +48,17 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_groups(_t(spark, sf, "chunks"))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.llm.leaks import leaks
+
+    return leaks(_t(spark, sf, "documents"), _t(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_containment(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.llm.leaks import leaks
+
+    return leaks(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
