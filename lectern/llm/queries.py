@@ -48,6 +48,19 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_groups(_t(spark, sf, "chunks"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.llm.canonical import match_references
+
+    return match_references(_t(spark, sf, "chunks"), _t(spark, sf, "ref_books")).where("not exact").select("chunk_id", "ref_pos", "book_id")
+
+
+def p6_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """The values that name no book, with how often they occur."""
+    from lectern.llm.canonical import match_references
+
+    return match_references(_t(spark, sf, "chunks"), _t(spark, sf, "ref_books")).where("book_id = 0").groupBy("value").agg(F.count("*").alias("n"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     from lectern.llm.leaks import leaks
 
