@@ -73,5 +73,17 @@ def p7_containment(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.llm.truncated import endings
+
+    return endings(_t(spark, sf, "documents")).where("cut").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.llm.truncated import cut_rates, endings
+
+    return cut_rates(endings(_t(spark, sf, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
