@@ -73,6 +73,24 @@ def p7_containment(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.llm.mixing import mix
+
+    return mix(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))[1].where("not can_reach").select("source")
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.llm.mixing import mix
+
+    return mix(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))[1]
+
+
+def p8_uses(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.llm.mixing import mix
+
+    return mix(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))[0]
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     from lectern.llm.truncated import endings
 
