@@ -48,6 +48,18 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_groups(_t(spark, sf, "chunks"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.llm.neighbours import close_pairs
+
+    return close_pairs(_t(spark, sf, "chunks")).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.llm.neighbours import most_similar
+
+    return most_similar(_t(spark, sf, "chunks"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     from lectern.llm.canonical import match_references
 
