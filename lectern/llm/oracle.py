@@ -1,8 +1,49 @@
-"""SQL for DuckDB that gives the same rows as the queries of this package, where SQL can."""
+"""SQL for DuckDB that gives the same rows as the queries of this package, where SQL can.
+
+p2 (order-dependent acceptance), p6 (edit distance in a trie), p9 (endings), p5_neighbours (an
+approximate index) and p8's uses are held against brute force in tests/llm instead.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+FOLD = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
+C = "c AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at) AS rn FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1)"
+
+TERMS = f"""{C}, w AS (SELECT chunk_id, {FOLD.format('text')} AS w, list_distinct(list_filter(list_transform(coalesce(topics, []), lambda t: array_to_string({FOLD.format('t')}, ' ')), lambda t: t <> '')) AS ts FROM c),
+    top AS (SELECT chunk_id, unnest(ts) AS term FROM w), voc AS (SELECT DISTINCT term, len(string_split(term, ' ')) AS k FROM top), ks AS (SELECT DISTINCT k FROM voc),
+    g AS (SELECT chunk_id, array_to_string(w[i + 1:i + k], ' ') AS term FROM (SELECT chunk_id, w, k, unnest(range(len(w) - k + 1)) AS i FROM w, ks WHERE len(w) >= k)),
+    joint AS (SELECT chunk_id, term, count(*) AS tf FROM g SEMI JOIN voc USING (term) GROUP BY ALL), st AS (SELECT term, count(*) AS df, sum(tf) AS total FROM joint GROUP BY term),
+    al AS (SELECT count(*) AS n, sum(pow(len(w), 0.75)) AS smooth FROM w),
+    sc AS (SELECT top.chunk_id, top.term, coalesce(tf, 0) AS tf, coalesce(df, 0) AS df, n, total, len(w.w) AS len, coalesce(tf * ln(n / df), 0) AS s,
+        coalesce(greatest(0, ln(tf * smooth / (total * pow(len(w.w), 0.75)))), 0) AS ppmi FROM top JOIN w USING (chunk_id) LEFT JOIN joint USING (chunk_id, term) LEFT JOIN st ON st.term = top.term, al)"""
+BAGS = f"""{C}, b AS (SELECT chunk_id, list_concat({FOLD.format('title')}, {FOLD.format('text')}) AS w, len({FOLD.format('text')}) AS nt FROM c), k AS (SELECT chunk_id, w, len(w) AS n FROM b WHERE nt >= 20),
+    u AS (SELECT chunk_id, n, t, count(*) AS m FROM (SELECT chunk_id, n, unnest(w) AS t FROM k) GROUP BY ALL),
+    pr AS (SELECT x.chunk_id AS a, y.chunk_id AS b, x.n AS na, y.n AS nb, sum(least(x.m, y.m)) AS i FROM u x JOIN u y ON x.t = y.t AND x.chunk_id < y.chunk_id AND y.n BETWEEN 0.8 * x.n AND 1.25 * x.n GROUP BY ALL)"""
+
+SQL = {
+    "p1_found": f"""WITH {TERMS}, r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY s DESC, term DESC) AS r, count(*) OVER (PARTITION BY chunk_id) AS m FROM sc)
+        SELECT a.chunk_id, a.term FROM r a LEFT JOIN r b ON a.chunk_id = b.chunk_id AND b.r = 2 WHERE a.r = 1 AND a.m >= 3 AND a.s > 0 AND a.s >= 2 * b.s""",
+    "p1_scores": f"WITH {TERMS} SELECT chunk_id, term, tf, df, round(ppmi, 6) AS ppmi, round(s, 6) AS tf_idf FROM sc",
+    "p3_found": r"""WITH RECURSIVE c AS (SELECT chunk_id, any_value(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id), t AS (SELECT chunk_id, regexp_extract_all(text, '\S+\s*') AS w FROM c), l AS (SELECT * FROM t WHERE len(w) > 400),
+        p AS (SELECT chunk_id, unnest(range(1, len(w) + 1)) AS pos, unnest(list_transform(w, lambda x: CASE WHEN len(x) - len(replace(x, chr(10), '')) >= 2 THEN 2 WHEN regexp_matches(x, '[.!?]["'')\]”’]*\s*$') THEN 1 ELSE 0 END)) AS kind FROM l),
+        cut AS (SELECT chunk_id, 0::BIGINT AS s, NULL::BIGINT AS cut_word FROM l UNION ALL
+            SELECT chunk_id, nxt - 75, nxt FROM (SELECT cut.chunk_id, coalesce(max(pos) FILTER (WHERE kind = 2), max(pos) FILTER (WHERE kind = 1), cut.s + 400) AS nxt
+                FROM cut JOIN l ON l.chunk_id = cut.chunk_id JOIN p ON p.chunk_id = cut.chunk_id AND p.pos BETWEEN cut.s + 201 AND cut.s + 400 WHERE len(l.w) - cut.s > 400 GROUP BY cut.chunk_id, cut.s))
+        SELECT chunk_id, cut_word FROM cut WHERE cut_word IS NOT NULL""",
+    "p4_found": f"WITH {BAGS} SELECT a AS chunk_id_a, b AS chunk_id_b FROM pr WHERE i >= 0.8 * (na + nb - i)",
+    "p5_found": """WITH c AS (SELECT chunk_id, CAST(any_value(embedding) AS DOUBLE[]) AS v FROM chunks WHERE embedding IS NOT NULL AND chunk_id IS NOT NULL GROUP BY chunk_id), n AS (SELECT chunk_id, v FROM c WHERE list_sum(list_transform(v, lambda x: abs(x))) > 0),
+        s AS (SELECT x.chunk_id AS a, y.chunk_id AS b, list_cosine_similarity(x.v, y.v) AS s FROM n x JOIN n y ON x.chunk_id <> y.chunk_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE s >= 0.85)
+        SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE r <= 5""",
+    "p7_found": f"""WITH i AS (SELECT item_id, {FOLD.format('text')} AS w FROM eval_items), ig AS (SELECT DISTINCT item_id, array_to_string(w[k + 1:k + 13], ' ') AS g FROM (SELECT item_id, w, unnest(range(len(w) - 12)) AS k FROM i WHERE len(w) >= 13)),
+        d AS (SELECT doc_id, {FOLD.format('text')} AS w FROM documents), dg AS (SELECT doc_id, array_to_string(w[k + 1:k + 13], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 12)) AS k FROM d WHERE len(w) >= 13))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p7_containment": f"""WITH i AS (SELECT item_id, {FOLD.format('text')} AS w FROM eval_items), ig AS (SELECT DISTINCT item_id, array_to_string(w[k + 1:k + 13], ' ') AS g FROM (SELECT item_id, w, unnest(range(len(w) - 12)) AS k FROM i WHERE len(w) >= 13)),
+        d AS (SELECT doc_id, {FOLD.format('text')} AS w FROM documents), dg AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1:k + 13], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 12)) AS k FROM d WHERE len(w) >= 13)),
+        z AS (SELECT item_id, count(*) AS item_runs FROM ig GROUP BY item_id), h AS (SELECT doc_id, item_id, count(*) AS n_runs FROM dg JOIN ig USING (g) GROUP BY ALL) SELECT doc_id, item_id, n_runs, item_runs, n_runs / item_runs AS containment FROM h JOIN z USING (item_id)""",
+    # a source far below its share is so in characters too
+    "p8_found": """WITH t AS (SELECT source, max(target_share) AS share, max(max_repeats) AS reps FROM mix_targets GROUP BY source), d AS (SELECT source, sum(len(coalesce(text, ''))) AS size FROM documents SEMI JOIN t USING (source) GROUP BY source)
+        SELECT t.source FROM t LEFT JOIN d USING (source) WHERE reps * coalesce(size, 0) < share * (SELECT sum(size) FROM d)""",
+}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,6 +18,12 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return leading_term(distinctive_terms(_t(spark, sf, "chunks"))).select("chunk_id", "term")
 
 
+def p1_scores(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.llm.distinctive import distinctive_terms
+
+    return distinctive_terms(_t(spark, sf, "chunks")).select("chunk_id", "term", "tf", "df", F.round("ppmi", 6).alias("ppmi"), F.round("tf_idf", 6).alias("tf_idf"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     from lectern.llm.history import repeats
 
