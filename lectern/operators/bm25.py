@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lectern.functions.text import tokenize
+from lectern.session import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -30,10 +31,12 @@ def build(docs: DataFrame, key: str = "chunk_id", text: str = "text") -> Index:
     """
     toks = docs.select(F.col(key).alias("id"), tokenize(text).alias("t"))
     each = toks.select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    postings = each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    scalars = toks.agg(F.count("*").alias("n"), F.avg(F.size("t").cast("double")).alias("avgdl"))
+    # the texts are read once; everything else comes from the postings
+    postings = written(each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
+    n_docs = docs.agg(F.count("*").alias("n"))
+    scalars = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).withColumn("n", n_docs.scalar()).select("n", F.try_divide("words", "n").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    n = scalars.select("n").scalar()
+    n = n_docs.scalar()
     raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).scalar()
     terms = raw.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw"))).select("term", "df", "idf")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lectern.functions.text import space_words, token_set
+from lectern.functions.text import let, space_words, token_set
 
 LAMBDA = 0.7
 #: Words at either end that are compared, and how many must be shared. Fixed values.
@@ -83,17 +83,14 @@ def mmr(df: DataFrame, n: int, lambda_: float = LAMBDA) -> DataFrame:
     per = df.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
 
     def similarity(a: Column, b: Column) -> Column:
-        both = F.size(F.array_intersect(a["w"], b["w"]))
-        union = F.size(a["w"]) + F.size(b["w"]) - both
-        jaccard = F.when(union > 0, both / union).otherwise(0.0)
+        words = F.size(a["w"]) + F.size(b["w"])
+        jaccard = let(F.size(F.array_intersect(a["w"], b["w"])), lambda both: F.when(words > both, both / (words - both)).otherwise(0.0))
         return F.greatest(F.when((a["title"] == b["title"]) & (a["date"] == b["date"]), 0.5).otherwise(0.0), jaccard)
 
     def step(acc: Column, _: Column) -> Column:
-        taken = F.transform(acc, lambda x: x["ord"])
-        left = F.filter("c", lambda x: ~F.array_contains(taken, x["ord"]))
+        left = let(F.transform(acc, lambda x: x["ord"]), lambda taken: F.filter("c", lambda x: ~F.array_contains(taken, x["ord"])))
         worth = F.transform(left, lambda x: F.struct(F.round(lambda_ * x["final_score"] - (1 - lambda_) * F.array_max(F.transform(acc, lambda y: similarity(x, y))), 9).alias("s"), (-x["ord"]).alias("o")))
-        best = -F.array_max(worth)["o"]
-        return F.when(F.size(left) > 0, F.concat(acc, F.filter("c", lambda x: x["ord"] == best))).otherwise(acc)
+        return let(-F.array_max(worth)["o"], lambda best: F.when(best.isNotNull(), F.concat(acc, F.filter("c", lambda x: x["ord"] == best))).otherwise(acc))
 
     picked = F.when(F.size("c") <= n, F.col("c")).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(max(n - 1, 1))), F.slice("c", 1, 1), step))
     rows = per.select("query_id", F.posexplode(F.slice(picked, 1, n)).alias("p", "e"))

@@ -39,7 +39,7 @@ def as_of():
 
 
 def _index(spark: SparkSession, sf: str) -> bm25.Index:
-    return bm25.build(spread(chunks(spark, sf, "text")))
+    return bm25.build(chunks(spark, sf, "text"))
 
 
 # -- lexical ----------------------------------------------------------------------------
