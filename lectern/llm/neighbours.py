@@ -1,11 +1,11 @@
 """Problem 5: the most similar vectors of every vector, by NN-descent.
 
-A graph of K neighbours per vector is started from cells and improved by local joins: a
+A graph of k neighbours per vector is started from cells and improved by local joins: a
 neighbour of my neighbour is likely mine. Each round is one join that brings a vector's
 neighbours, forward and reverse, together at that vector, where all pairs among them are
 compared; only pairs that improve one of the two lists travel on. Cells come from two sets of
-random directions: a vector goes to the SPLIT best pairs of a direction from either set, TREES
-times over; their number grows with the square root of the data, the rows per cell stay the same.
+random directions: a vector goes to the ``split`` best pairs of a direction from either set,
+``trees`` times over; their number grows with the square root of the data, the rows per cell stay the same.
 
 Vectors travel as 64 bytes (8 bits per component of a 64-dimensional vector); similarities in the
 graph are therefore good to about 0.003. What must be exact is computed from the full vectors.
@@ -14,6 +14,7 @@ graph are therefore good to about 0.003. What must be exact is computed from the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,27 @@ from lectern.llm.bags import as_batches
 from lectern.llm.common import bit_array, bit_test, one_per_key
 from lectern.session import spread, written
 
-K = 8
-SPLIT = 3
-TREES = 2
-PER_CELL = 150
 #: Rows of one cell that are compared with each other at once.
 WINDOW = 1024
-REVERSE = 8
-ROUNDS = 1
+
+
+@dataclass(frozen=True)
+class Effort:
+    """k neighbours per vector; ``trees`` times ``split`` cells each, of about per_cell / split
+    vectors' first choices; up to k + ``reverse`` vectors meet in a local join; ``rounds`` of them."""
+
+    k: int = 8
+    split: int = 3
+    trees: int = 2
+    per_cell: int = 150
+    reverse: int = 8
+    rounds: int = 1
+
+
+#: Enough to find vectors that resemble each other closely.
+CLOSE = Effort()
+#: For the nearest of any vector, however far they are.
+FULL = Effort(16, 3, 3, 300, 16, 2)
 EDGE = "id long, nbr long, sim float"
 
 
@@ -105,11 +119,11 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: int = 0, most: int =
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def cell_rows(nodes: DataFrame, dim: int, side: int) -> DataFrame:
+def cell_rows(nodes: DataFrame, dim: int, side: int, e: Effort) -> DataFrame:
     """(cell, at, id, q): every vector in its cells, ``at`` its place along one more direction."""
-    sets = [(directions(side, dim, 2 * t + 1), directions(side, dim, 2 * t + 2)) for t in range(TREES)]
+    sets = [(directions(side, dim, 2 * t + 1), directions(side, dim, 2 * t + 2)) for t in range(e.trees)]
     along = directions(1, dim, 999)[0]
-    near = min(side, 2 * SPLIT)
+    near, split = min(side, 2 * e.split), e.split
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in as_batches(batches, 5000):
@@ -120,7 +134,7 @@ def cell_rows(nodes: DataFrame, dim: int, side: int) -> DataFrame:
                 ia, ic = np.argsort(-a, 1)[:, :near], np.argsort(-c, 1)[:, :near]
                 s = (np.take_along_axis(a, ia, 1)[:, :, None] + np.take_along_axis(c, ic, 1)[:, None, :]).reshape(len(x), -1)
                 name = ((t * side + ia[:, :, None]) * side + ic[:, None, :]).reshape(len(x), -1)
-                m = min(SPLIT, name.shape[1])
+                m = min(split, name.shape[1])
                 cells.append(np.take_along_axis(name, np.argsort(-s, 1)[:, :m], 1).ravel())
                 of.append(np.repeat(np.arange(len(x)), m))
             take = np.concatenate(of)
@@ -139,8 +153,8 @@ def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return r[ok], c[ok]
 
 
-def cell_edges(cells: DataFrame, dim: int) -> DataFrame:
-    """The K most similar of each vector within its cell.
+def cell_edges(cells: DataFrame, dim: int, k: int) -> DataFrame:
+    """The k most similar of each vector within its cell.
 
     A cell is compared in windows along ``at``, each with the next one, so its cost stays linear
     however full it is; a cell with a large part of all rows is split over tasks by AQE.
@@ -159,11 +173,11 @@ def cell_edges(cells: DataFrame, dim: int) -> DataFrame:
                         continue
                     sim = x[a] @ x[b].T
                     np.fill_diagonal(sim, -np.inf)
-                    r, c = _best(sim, K)
+                    r, c = _best(sim, k)
                     out.append((ids[a][r], ids[b][c], sim[r, c]))
                     if b.stop > a.stop:
                         back = sim[:, a.stop - a.start :].T
-                        r, c = _best(back, K)
+                        r, c = _best(back, k)
                         out.append((ids[a.stop : b.stop][r], ids[a][c], back[r, c]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], ["id", "nbr", "sim"])
@@ -171,7 +185,7 @@ def cell_edges(cells: DataFrame, dim: int) -> DataFrame:
     return cells.hint("rebalance", "cell").sortWithinPartitions("cell", "at").select("cell", "id", "q").mapInArrow(rows, EDGE)
 
 
-def best_k(edges: DataFrame, k: int = K) -> DataFrame:
+def best_k(edges: DataFrame, k: int) -> DataFrame:
     """The k most similar different neighbours of each id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,19 +206,19 @@ def best_k(edges: DataFrame, k: int = K) -> DataFrame:
     return edges.repartition("id").sortWithinPartitions("id").mapInArrow(rows, EDGE)
 
 
-def descend(graph: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
+def descend(graph: DataFrame, nodes: DataFrame, dim: int, e: Effort) -> DataFrame:
     """Pairs that one round of local joins finds to improve a list, in both directions.
 
-    Of the reverse neighbours of a vector the REVERSE most similar take part, as NN-descent
+    Of the reverse neighbours of a vector the ``reverse`` most similar take part, as NN-descent
     samples them: the neighbours of a hub are many, and each has lists of its own to be found by.
     """
-    worst = graph.groupBy("id").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("low"))
+    worst = graph.groupBy("id").agg(F.when(F.count("*") >= e.k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("low"))
     rank = F.row_number().over(Window.partitionBy("nbr").orderBy(F.desc("sim"), "id"))
-    back = graph.withColumn("r", rank).where(F.col("r") <= REVERSE).select(F.col("nbr").alias("u"), F.col("id").alias("w"))
+    back = graph.withColumn("r", rank).where(F.col("r") <= e.reverse).select(F.col("nbr").alias("u"), F.col("id").alias("w"))
     member = graph.select(F.col("id").alias("u"), F.col("nbr").alias("w")).union(back).distinct()
     full = nodes.join(worst, "id", "left").select(F.col("id").alias("w"), "q", F.coalesce("low", F.lit(-2.0)).cast("float").alias("low"))
     met = member.join(full, "w").select("u", "w", "low", "q")
-    wide = K + REVERSE
+    wide = e.k + e.reverse
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, most=20_000):
@@ -227,13 +241,13 @@ def descend(graph: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
     return met.repartition("u").sortWithinPartitions("u").mapInArrow(rows, EDGE)
 
 
-def neighbour_graph(nodes: DataFrame, dim: int, rounds: int = ROUNDS) -> DataFrame:
-    """(id, nbr, sim): about the K most similar of every vector of (id, q)."""
+def neighbour_graph(nodes: DataFrame, dim: int, e: Effort = CLOSE) -> DataFrame:
+    """(id, nbr, sim): about the k most similar of every vector of (id, q)."""
     n = nodes.count()
-    side = max(2, int(np.ceil(np.sqrt(n * SPLIT / PER_CELL))))
-    graph = written(best_k(cell_edges(cell_rows(nodes, dim, side), dim)))
-    for _ in range(rounds):
-        graph = written(best_k(graph.union(descend(graph, nodes, dim))))
+    side = max(2, int(np.ceil(np.sqrt(n * e.split / e.per_cell))))
+    graph = written(best_k(cell_edges(cell_rows(nodes, dim, side, e), dim, e.k), e.k))
+    for _ in range(e.rounds):
+        graph = written(best_k(graph.union(descend(graph, nodes, dim, e)), e.k))
     return graph
 
 
@@ -275,7 +289,7 @@ def to_keys(edges: DataFrame, vectors: DataFrame, sim: str, k: int) -> DataFrame
     return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("key", "other", sim, "rank")
 
 
-def nearest(records: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 64, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def nearest(records: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 64, effort: Effort = CLOSE) -> tuple[DataFrame, DataFrame]:
     """The vectors (key, vid, q, unit) of the usable records and their graph (id, nbr, sim).
 
     Null vectors, all-zero ones and such of another length than ``dim`` are not usable; null, NaN
@@ -285,12 +299,12 @@ def nearest(records: DataFrame, key: str = "chunk_id", vector: str = "embedding"
     """
     vectors = written(units(records, key, vector, dim))
     nodes = written(vectors.groupBy(F.col("vid").alias("id")).agg(F.min("q").alias("q")))
-    return vectors, neighbour_graph(nodes, dim, rounds)
+    return vectors, neighbour_graph(nodes, dim, effort)
 
 
-def most_similar(records: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 64, k: int = 5) -> DataFrame:
+def most_similar(records: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 64, k: int = 5, effort: Effort = FULL) -> DataFrame:
     """(key, other, sim, rank): about the k most similar records of every usable one."""
-    vectors, graph = nearest(records, key, vector, dim)
+    vectors, graph = nearest(records, key, vector, dim, effort)
     return to_keys(graph, vectors, "sim", k).withColumnRenamed("key", key)
 
 
