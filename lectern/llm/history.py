@@ -139,13 +139,20 @@ def repeats(history: DataFrame, batches: DataFrame, key: str = "chunk_id", title
     keep = bit_array(pairs.select("a").union(pairs.select(F.col("b").alias("a"))), F.col("a"), BAG_BITS)
 
     old = written(members(history, key, title, text, keep, least_words))
-    row = batches.select(F.struct(*order, F.col(key).alias("cid")).alias("_id"), F.col(title).alias("_t"), F.col(text).alias("_x"))
-    new = written(members(row, "_id", "_t", "_x", keep, least_words, every=True))
-    links = written(verified(pairs, old.select("bag", "units").unionByName(new.select("bag", "units")), least).select("a", "b"))
+    new = written(members(_row(batches, key, title, text, order), "_id", "_t", "_x", keep, least_words, every=True))
+    return _judged(new, old, history.select(F.col(key).alias("cid")), pairs, order, least)
+
+
+def _row(batches: DataFrame, key: str, title: str, text: str, order: tuple[str, str]) -> DataFrame:
+    return batches.select(F.struct(*order, F.col(key).alias("cid")).alias("_id"), F.col(title).alias("_t"), F.col(text).alias("_x"))
 
+
+def _judged(new: DataFrame, old: DataFrame, keys: DataFrame, pairs: DataFrame, order: tuple[str, str], least: float) -> DataFrame:
+    """The refused rows of ``new`` (id, bag, units), given the held bags and keys."""
+    links = written(verified(pairs, old.select("bag", "units").unionByName(new.select("bag", "units")), least).select("a", "b"))
     old_bags = old.select("bag").distinct()
     bad_bags = old_bags.union(links.join(old_bags.withColumnRenamed("bag", "a"), "a", "left_semi").select("b")).union(links.join(old_bags.withColumnRenamed("bag", "b"), "b", "left_semi").select("a")).distinct().withColumn("bad", F.lit(True))
-    old_keys = history.select(F.col(key).alias("cid")).where("cid is not null").distinct().withColumn("had", F.lit(True))
+    old_keys = keys.where("cid is not null").distinct().withColumn("had", F.lit(True))
     o = F.struct(*(F.col(f"id.{c}").alias(c) for c in order)).alias("o")
     rows = new.select(o, F.col("id.cid").alias("cid"), "bag")
     rows = written(rows.join(old_keys, "cid", "left").join(bad_bags, "bag", "left").select("o", "cid", "bag", (F.col("had").isNotNull() | F.col("bad").isNotNull()).alias("bad")))
@@ -161,3 +168,42 @@ def repeats(history: DataFrame, batches: DataFrame, key: str = "chunk_id", title
     tied = first.join(many_c, "cid", "left").join(many_b, "bag", "left").join(ends, "bag", "left").where("c2 or b2 or tied").select("o", "cid", "bag")
     refused = resolve(tied, links)
     return rows.where("bad").select("o").union(again).union(refused).select("o.*")
+
+
+class PivotTable:
+    """The held records at ``path``, for batches that come one at a time.
+
+    rows has the pivot rows, written in ranges of their key so that a batch reads the files its
+    keys can lie in; bags the held bags with their units; keys the held keys. A batch reads its
+    own texts, the pivot rows and the bags of its candidates, never the texts of the history.
+    """
+
+    def __init__(self, spark, path: str, key: str = "chunk_id", title: str = "title", text: str = "text", least: float = 0.8, least_words: int = LEAST_WORDS, parts: int = 16):
+        self.spark, self.path, self.parts = spark, path, parts
+        self.key, self.title, self.text, self.least, self.least_words = key, title, text, least, least_words
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def append(self, records: DataFrame) -> None:
+        """Holds records from now on; nothing is checked, and rows of equal bags do no harm."""
+        rows = pivot_rows(records, self.title, self.text, self.least, self.least_words, probe=False)
+        rows.repartitionByRange(self.parts, "k").sortWithinPartitions("k").write.mode("append").parquet(f"{self.path}/rows")
+        every = np.full(1 << (BAG_BITS - 6), ~U(0), U)
+        # a null key is no key, but its bag is held
+        named = records.select(F.coalesce(F.col(self.key), F.lit("")).alias("_id"), F.col(self.title).alias("_t"), F.col(self.text).alias("_x"))
+        members(named, "_id", "_t", "_x", every, self.least_words).where("units is not null").select("bag", "units").write.mode("append").parquet(f"{self.path}/bags")
+        records.select(F.col(self.key).alias("cid")).where("cid is not null").distinct().write.mode("append").parquet(f"{self.path}/keys")
+
+    def admit(self, batch: DataFrame, order: tuple[str, str] = ("batch_id", "row_id")) -> DataFrame:
+        """The ``order`` columns of the refused rows; the others are held when this returns."""
+        probes = written(pivot_rows(batch, self.title, self.text, self.least, self.least_words, probe=True))
+        own = pivot_rows(batch, self.title, self.text, self.least, self.least_words, probe=False)
+        pairs = written(candidates(self._read("rows").unionByName(own), probes, self.least))
+        ends = pairs.select("a").union(pairs.select(F.col("b").alias("a")))
+        new = written(members(_row(batch, self.key, self.title, self.text, order), "_id", "_t", "_x", bit_array(ends, F.col("a"), BAG_BITS), self.least_words, every=True))
+        near = ends.union(new.select("bag")).distinct().withColumnRenamed("a", "bag")
+        old = written(self._read("bags").join(near, "bag", "left_semi"))
+        refused = written(_judged(new, old, self._read("keys"), pairs, order, self.least))
+        self.append(batch.join(refused.select(*order), [*order], "left_anti"))
+        return refused

@@ -157,6 +157,20 @@ def test_repeats_against_all_history(spark, empty):
     assert repeats(h, spark.createDataFrame([], schema)).count() == 0
 
 
+def test_pivot_table_batch_by_batch(spark, tmp_path):
+    from lectern.llm.history import PivotTable
+
+    every = [r for r in corpus(11, 30) if r[0]]
+    random.Random(3).shuffle(every)
+    batch = [(i // 15, i, *r) for i, r in enumerate(every[20:])]
+    table = PivotTable(spark, str(tmp_path / "held"), parts=2)
+    table.append(make(spark, [(a, b, c, None, None, None) for a, b, c in every[:20]]))
+    got = set()
+    for n in sorted({b[0] for b in batch}):
+        got |= rows_of(table.admit(spark.createDataFrame([b for b in batch if b[0] == n], "batch_id long, row_id long, chunk_id string, title string, text string")))
+    assert got == brute_repeats(every[:20], batch)
+
+
 # -- 3 -----------------------------------------------------------------------------------
 
 
