@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lectern.llm.bags import as_batches
+from lectern.llm.bags import as_batches, mix
 from lectern.llm.common import bit_array, bit_test, one_per_key
 from lectern.session import spread, written
 
-#: Rows of one cell that are compared with each other at once.
-WINDOW = 1024
+#: Rows of one cell, or of a block of a larger one, that a task holds.
+BLOCK = 16_384
+#: Similarities that are computed at once.
+TILE = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -79,8 +81,6 @@ def units(records: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     kind = one.schema["_k"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from lectern.llm.bags import mix
-
         for b in as_batches(batches, 10_000):
             flat = b.column(1).flatten().cast(pa.float64())
             x = np.nan_to_num(flat.fill_null(0.0).to_numpy(zero_copy_only=False), nan=0.0, posinf=0.0, neginf=0.0).reshape(-1, dim)
@@ -119,28 +119,58 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: int = 0, most: int =
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def cell_rows(nodes: DataFrame, dim: int, side: int, e: Effort) -> DataFrame:
-    """(cell, at, id, q): every vector in its cells, ``at`` its place along one more direction."""
+def _cells(x: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], side: int, split: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell): the ``split`` cells of each row in every set."""
+    near = min(side, 2 * split)
+    of, cells = [], []
+    for t, (p, q) in enumerate(sets):
+        a, c = x @ p.T, x @ q.T
+        ia, ic = np.argsort(-a, 1)[:, :near], np.argsort(-c, 1)[:, :near]
+        s = (np.take_along_axis(a, ia, 1)[:, :, None] + np.take_along_axis(c, ic, 1)[:, None, :]).reshape(len(x), -1)
+        name = ((t * side + ia[:, :, None]) * side + ic[:, None, :]).reshape(len(x), -1)
+        m = min(split, name.shape[1])
+        cells.append(np.take_along_axis(name, np.argsort(-s, 1)[:, :m], 1).ravel())
+        of.append(np.repeat(np.arange(len(x)), m))
+    return np.concatenate(of), np.concatenate(cells).astype(np.int64)
+
+
+def cell_rows(nodes: DataFrame, dim: int, side: int, e: Effort, most: int = BLOCK) -> DataFrame:
+    """(cell, block, id, q): every vector in its cells.
+
+    A cell of more than ``most`` rows is divided into blocks by hash, and stands for as many cells as
+    it has pairs of blocks, each of its rows in those of its block: so all its pairs meet, in
+    separate tasks. Full cells are counted first; there are few, as each holds ``most`` rows.
+    """
     sets = [(directions(side, dim, 2 * t + 1), directions(side, dim, 2 * t + 2)) for t in range(e.trees)]
-    along = directions(1, dim, 999)[0]
-    near, split = min(side, 2 * e.split), e.split
+    split = e.split
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in as_batches(batches, 5000):
+            cell, n = np.unique(_cells(unpacked(b.column(0), dim), sets, side, split)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], ["cell", "n"])
+
+    counts = nodes.select("q").mapInArrow(sizes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    full = np.array(sorted((r.cell, r.n) for r in counts.where(F.col("n") > most).collect()), np.int64).reshape(-1, 2)
+    blocks = -(-full[:, 1] // most)
+    # names of their own for the pairs of blocks, after those of all cells
+    names = e.trees * side * side + np.cumsum(blocks * (blocks + 1) // 2) - blocks * (blocks + 1) // 2
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in as_batches(batches, 5000):
-            x = unpacked(b.column(1), dim)
-            of, cells = [], []
-            for t, (p, q) in enumerate(sets):
-                a, c = x @ p.T, x @ q.T
-                ia, ic = np.argsort(-a, 1)[:, :near], np.argsort(-c, 1)[:, :near]
-                s = (np.take_along_axis(a, ia, 1)[:, :, None] + np.take_along_axis(c, ic, 1)[:, None, :]).reshape(len(x), -1)
-                name = ((t * side + ia[:, :, None]) * side + ic[:, None, :]).reshape(len(x), -1)
-                m = min(split, name.shape[1])
-                cells.append(np.take_along_axis(name, np.argsort(-s, 1)[:, :m], 1).ravel())
-                of.append(np.repeat(np.arange(len(x)), m))
-            take = np.concatenate(of)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).astype(np.int64)), pa.array((x @ along)[take]), b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take))], ["cell", "at", "id", "q"])
-
-    return nodes.select("id", "q").mapInArrow(rows, "cell long, at float, id long, q binary")
+            of, first = _cells(unpacked(b.column(1), dim), sets, side, split)
+            m = np.ones(len(of), np.int64)
+            if len(full):
+                at = np.minimum(np.searchsorted(full[:, 0], first), len(full) - 1)
+                hit = full[at, 0] == first
+                m, first = np.where(hit, blocks[at], 1), np.where(hit, names[at], first)
+            own = (mix(b.column(0).to_numpy().view(np.uint64))[of] % m.astype(np.uint64)).astype(np.int64)
+            for other in range(int(m.max(initial=0))):
+                ok = m > other
+                lo, hi = np.minimum(own[ok], other), np.maximum(own[ok], other)
+                take = pa.array(of[ok])
+                yield pa.RecordBatch.from_arrays([pa.array(first[ok] + lo * m[ok] - lo * (lo - 1) // 2 + hi - lo), pa.array(own[ok]), b.column(0).take(take), b.column(1).take(take)], ["cell", "block", "id", "q"])
+
+    return nodes.select("id", "q").mapInArrow(rows, "cell long, block long, id long, q binary")
 
 
 def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,35 +184,31 @@ def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cell_edges(cells: DataFrame, dim: int, k: int) -> DataFrame:
-    """The k most similar of each vector within its cell.
-
-    A cell is compared in windows along ``at``, each with the next one, so its cost stays linear
-    however full it is; a cell with a large part of all rows is split over tasks by AQE.
-    """
+    """The k most similar of each vector within its cell: every row of a cell is compared with
+    every other, or every row of one block with every row of the other."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
-            cell, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
-            x = unpacked(t.column(2).combine_chunks(), dim)
+            cell, block, ids = (t.column(c).to_numpy() for c in range(3))
+            x = unpacked(t.column(3).combine_chunks(), dim)
             cuts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
             out = []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                for s in range(lo, hi, WINDOW):
-                    a, b = slice(s, min(s + WINDOW, hi)), slice(s, min(s + 2 * WINDOW, hi))
-                    if b.stop - b.start < 2:
-                        continue
-                    sim = x[a] @ x[b].T
-                    np.fill_diagonal(sim, -np.inf)
-                    r, c = _best(sim, k)
-                    out.append((ids[a][r], ids[b][c], sim[r, c]))
-                    if b.stop > a.stop:
-                        back = sim[:, a.stop - a.start :].T
-                        r, c = _best(back, k)
-                        out.append((ids[a.stop : b.stop][r], ids[a][c], back[r, c]))
+                mid = lo + int(np.searchsorted(block[lo:hi], block[lo], "right"))
+                for (a, z), (u, v) in [((lo, hi), (lo, hi))] if mid == hi else [((lo, mid), (mid, hi)), ((mid, hi), (lo, mid))]:
+                    step = max(1, TILE // (v - u))
+                    for s in range(a, z, step):
+                        end = min(s + step, z)
+                        sim = x[s:end] @ x[u:v].T
+                        if a == u:
+                            sim[np.arange(end - s), np.arange(s - u, end - u)] = -np.inf
+                        r, c = _best(sim, k)
+                        out.append((ids[s:end][r], ids[u:v][c], sim[r, c]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], ["id", "nbr", "sim"])
 
-    return cells.hint("rebalance", "cell").sortWithinPartitions("cell", "at").select("cell", "id", "q").mapInArrow(rows, EDGE)
+    # not a rebalance, which may tear a cell apart
+    return cells.repartition("cell").sortWithinPartitions("cell", "block").mapInArrow(rows, EDGE)
 
 
 def best_k(edges: DataFrame, k: int) -> DataFrame:

@@ -291,6 +291,43 @@ def test_neighbours(spark, empty):
     assert len(first) >= 0.9 * len(ids)
 
 
+def test_neighbours_in_a_crowded_region(spark):
+    from lectern.llm.neighbours import close_pairs
+
+    rng = np.random.default_rng(2)
+    center = rng.normal(size=64)
+    crowd = center + rng.normal(size=(2500, 64)) * 0.35
+    x = np.concatenate([crowd, crowd + rng.normal(size=crowd.shape) * 0.1, rng.normal(size=(10_000, 64))]).astype(np.float32)
+    ids = np.array([f"v{i:05}" for i in range(len(x))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for i in range(0, 5000, 500):
+        s = u[i : i + 500] @ u.T
+        s[np.arange(500), np.arange(i, i + 500)] = -2
+        for r, row in enumerate(np.argpartition(-s, 5, axis=1)[:, :5]):
+            want |= {tuple(sorted((ids[i + r], ids[j]))) for j in row if s[r, j] >= 0.85}
+    df = spark.createDataFrame([(k, [float(y) for y in v]) for k, v in zip(ids, x)], "chunk_id string, embedding array<float>")
+    got = rows_of(close_pairs(df))
+    assert len(got & want) >= 0.99 * len(want)
+
+
+def test_every_pair_of_a_full_cell_meets(spark):
+    from lectern.llm.neighbours import Effort, cell_edges, cell_rows, packed
+
+    x = np.random.default_rng(3).normal(size=(3000, 8)) * 0.1 + 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = packed(x)
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(q)], "id long, q binary").repartition(3)
+    u = q / np.linalg.norm(q.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    for most in (700, 5000):
+        # one direction of each set: a single cell
+        edges = cell_edges(cell_rows(nodes, 8, 1, Effort(split=1, trees=1), most), 8, 4).toPandas()
+        top = edges.drop_duplicates(["id", "nbr"]).sort_values("sim").groupby("id").tail(4).groupby("id")["sim"].min().sort_index()
+        assert len(top) == 3000 and np.allclose(top.to_numpy(), np.sort(s, 1)[:, -4], atol=1e-5)
+
+
 # -- 6 -----------------------------------------------------------------------------------
 
 BOOKS = [(1, "Genesis", "Gen", 50), (9, "1 Samuel", "1 Sam", 31), (10, "2 Samuel", "2 Sam", 24), (19, "Psalms", "Ps", 150), (22, "Song of Solomon", "Song", 8), (32, "Jonah", "Jnh", 4), (40, "Matthew", "Matt", 28), (44, "Acts", "Ac", 28), (46, "1 Corinthians", "1 Cor", 16), (50, "Philippians", "Php", 4), (57, "Philemon", "Phlm", 1), (62, "1 John", "1 Jn", 5), (43, "John", "Jn", 21)]
