@@ -22,13 +22,19 @@ from lectern.llm.common import one_per_key
 #: Other usual names of entries: alias, canonical name. Fixed values.
 ALIASES = [
     ("Song of Songs", "Song of Solomon"),
+    ("Solomon's Song", "Song of Solomon"),
     ("Canticles", "Song of Solomon"),
+    ("Canticle of Canticles", "Song of Solomon"),
+    ("Qoheleth", "Ecclesiastes"),
+    ("Lamentations of Jeremiah", "Lamentations"),
     ("Psalm", "Psalms"),
     ("Psa", "Psalms"),
     ("Phil", "Philippians"),
     ("Acts of the Apostles", "Acts"),
     ("Revelations", "Revelation"),
     ("Apocalypse", "Revelation"),
+    ("Revelation of John", "Revelation"),
+    ("Revelation to John", "Revelation"),
 ]
 #: Words that may stand before a name.
 LEAD = re.compile(r"^(?:(?:see|cf|compare|the|books?|gospel|epistle|letter|according|of|to|st|saint)\b[\s.:]*)+")
@@ -86,7 +92,11 @@ class Trie:
                 node.ends.append((entry, full))
 
     def within(self, number: str, name: str) -> dict[int, int]:
-        """Entries within their limit and their distance; short forms and aliases count exactly."""
+        """Entries with a name, short form or alias within the limit of its length, and their distance."""
+        return {entry: d for entry, (d, _) in self.ranked(number, name).items()}
+
+    def ranked(self, number: str, name: str) -> dict[int, tuple[int, bool]]:
+        """Of every entry within the limit the distance and whether only a short form or alias has it."""
         root, found = self.roots.get(number), {}
         if not root or not name or len(name) > self.longest + 2:
             return {}
@@ -96,8 +106,8 @@ class Trie:
             node, depth, last, row, before = stack.pop()
             d = row[-1]
             for entry, full in node.ends:
-                if d <= (limit(depth) if full else 0):
-                    found[entry] = min(d, found.get(entry, d))
+                if d <= limit(depth):
+                    found[entry] = min((d, not full), found.get(entry, (d, True)))
             for c, child in node.below.items():
                 new = [row[0] + 1]
                 for j, x in enumerate(name):
@@ -121,19 +131,20 @@ def choose(trie: Trie, value: str, chapters: dict[int, int]) -> tuple[int, int]:
     """(entry, edits) of a typed reference, (0, -1) if it names none.
 
     Exact names come first, then an unambiguous beginning of four letters or more, then the
-    nearest within the limit. Entries that tie are told apart by having the chapter; if that
-    leaves several, the value names none.
+    nearest within the limit. Of entries that tie those tied by their full name come first, and are
+    told apart by having the chapter; if that leaves several, the value names none.
     """
     number, name, chapter = parts(value)
-    near = trie.within(number, name)
-    best = min(near.values(), default=-1)
+    near = trie.ranked(number, name)
+    best = min((d for d, _ in near.values()), default=-1)
     if best != 0 and len(name) >= 4 and len(only := trie.beginning(number, name)) == 1:
         return next(iter(only)), 0
     if best != 0 and name.endswith("ch"):  # "Amosch. 2": the mark of a chapter without a space
-        other = trie.within(number, name[:-2])
-        if other and (best < 0 or min(other.values()) < best):
-            near, best = other, min(other.values())
-    ties = [e for e, d in near.items() if d == best]
+        other = trie.ranked(number, name[:-2])
+        if other and (best < 0 or min(other.values())[0] < best):
+            near, best = other, min(other.values())[0]
+    ties = [e for e, (d, _) in near.items() if d == best]
+    ties = [e for e in ties if not near[e][1]] or ties
     if len(ties) > 1 and chapter is not None:
         ties = [e for e in ties if chapter <= chapters.get(e, chapter)] or ties
     return (ties[0], best) if len(ties) == 1 else (0, -1)

@@ -346,6 +346,17 @@ def test_choose(value, book):
     assert choose(trie, value, {b: n for b, _, _, n in BOOKS})[0] == book
 
 
+@pytest.mark.parametrize(
+    ("value", "book"),
+    [("Solomon's Song (5:12)", 22), ("Solomons Song 2", 22), ("Solomon\u2019s Sonng 2", 22), ("Song of Sogns 2", 22), ("Canticels 1", 22), ("Canticle of Canticles 1", 22), ("Acts of the Apostels 2", 44), ("Apocalipse 3", 66), ("Pslam 23", 19), ("Mtat 5:3", 40), ("Phlm 1", 57), ("Phil 1", 50), ("Johs 3", 43), ("Hymn 24", 0), ("Lesson 2-1", 0), ("Page 3", 0), ("Gan 3", 0)],
+)
+def test_aliases_and_their_typing_errors(spark, value, book):
+    from lectern.llm.canonical import match_references
+
+    books = spark.createDataFrame([*BOOKS, (6, "Joshua", "Josh", 24), (66, "Revelation", "Rev", 22)], "book_id long, book_name string, short_form string, n_chapters int")
+    assert [r.book_id for r in match_references(make(spark, [("a", "t", "x", None, [value], None)]), books).collect()] == [book]
+
+
 def test_automaton_against_edit_distance():
     from lectern.llm.canonical import Trie, limit
 
