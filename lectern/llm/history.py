@@ -138,7 +138,9 @@ def repeats(history: DataFrame, batches: DataFrame, key: str = "chunk_id", title
     pairs = written(candidates(table, probes, least))
     keep = bit_array(pairs.select("a").union(pairs.select(F.col("b").alias("a"))), F.col("a"), BAG_BITS)
 
-    old = written(members(history, key, title, text, keep, least_words))
+    # a null key is no key, but its bag is held; of the held rows only bags and units are used
+    held = history.select(F.lit("").alias("_id"), F.col(title).alias("_t"), F.col(text).alias("_x"))
+    old = written(members(held, "_id", "_t", "_x", keep, least_words))
     new = written(members(_row(batches, key, title, text, order), "_id", "_t", "_x", keep, least_words, every=True))
     return _judged(new, old, history.select(F.col(key).alias("cid")), pairs, order, least)
 

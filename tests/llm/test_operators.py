@@ -157,6 +157,21 @@ def test_repeats_against_all_history(spark, empty):
     assert repeats(h, spark.createDataFrame([], schema)).count() == 0
 
 
+def test_history_rows_without_key_are_held(spark, tmp_path):
+    from lectern.llm.history import PivotTable, repeats
+
+    rng = random.Random(12)
+    one, other = text(rng, 100), text(rng, 100)
+    history = [(None, "t", one), (None, "t", other), ("k", "t", text(rng, 100))]
+    batch = [(0, 0, "a", "t", edited(rng, one, 2)), (0, 1, "b", "t", other), (0, 2, None, "t", text(rng, 100)), (0, 3, "c", "t", text(rng, 100))]
+    h = make(spark, [(*r, None, None, None) for r in history])
+    b = spark.createDataFrame(batch, "batch_id long, row_id long, chunk_id string, title string, text string")
+    assert rows_of(repeats(h, b)) == brute_repeats(history, batch) == {(0, 0), (0, 1)}
+    table = PivotTable(spark, str(tmp_path / "held"), parts=2)
+    table.append(h)
+    assert rows_of(table.admit(b)) == {(0, 0), (0, 1)}
+
+
 def test_pivot_table_batch_by_batch(spark, tmp_path):
     from lectern.llm.history import PivotTable
 
