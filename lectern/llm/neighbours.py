@@ -5,7 +5,8 @@ neighbour of my neighbour is likely mine. Each round is one join that brings a v
 neighbours, forward and reverse, together at that vector, where all pairs among them are
 compared; only pairs that improve one of the two lists travel on. Cells come from two sets of
 random directions: a vector goes to the ``split`` best pairs of a direction from either set,
-``trees`` times over; their number grows with the square root of the data, the rows per cell stay the same.
+``trees`` times over. Directions grow with the square root of the data, the rows per cell stay the
+same; as more cells tear more pairs apart, trees grow with the logarithm of the data.
 
 Vectors travel as 64 bytes (8 bits per component of a 64-dimensional vector); similarities in the
 graph are therefore good to about 0.003. What must be exact is computed from the full vectors.
@@ -14,7 +15,7 @@ graph are therefore good to about 0.003. What must be exact is computed from the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ TILE = 1 << 22
 @dataclass(frozen=True)
 class Effort:
     """k neighbours per vector; ``trees`` times ``split`` cells each, of about per_cell / split
-    vectors' first choices; up to k + ``reverse`` vectors meet in a local join; ``rounds`` of them."""
+    vectors' first choices; up to k + ``reverse`` vectors meet in a local join; ``rounds`` of them.
+    ``trees`` is for up to ``base`` vectors, and one more for every fourfold of that."""
 
     k: int = 8
     split: int = 3
@@ -43,6 +45,11 @@ class Effort:
     per_cell: int = 150
     reverse: int = 8
     rounds: int = 1
+    base: int = 15_000
+
+    def at(self, n: int) -> Effort:
+        """The effort for n vectors, with as good a chance that a close pair has a common cell."""
+        return replace(self, trees=self.trees + max(0, int(np.ceil(np.log(max(n, 1) / self.base) / np.log(4) - 1e-9))))
 
 
 #: Enough to find vectors that resemble each other closely.
@@ -270,6 +277,7 @@ def descend(graph: DataFrame, nodes: DataFrame, dim: int, e: Effort) -> DataFram
 def neighbour_graph(nodes: DataFrame, dim: int, e: Effort = CLOSE) -> DataFrame:
     """(id, nbr, sim): about the k most similar of every vector of (id, q)."""
     n = nodes.count()
+    e = e.at(n)
     side = max(2, int(np.ceil(np.sqrt(n * e.split / e.per_cell))))
     graph = written(best_k(cell_edges(cell_rows(nodes, dim, side, e), dim, e.k), e.k))
     for _ in range(e.rounds):

@@ -326,6 +326,22 @@ def test_neighbours_in_a_crowded_region(spark):
     assert len(got & want) >= 0.99 * len(want)
 
 
+def test_close_pairs_share_a_cell_at_any_size():
+    from lectern.llm.neighbours import CLOSE, _cells, directions
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    y = x + rng.normal(size=x.shape) * 0.5  # cosines about 0.9
+    x, y = ((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32) for v in (x, y))
+    for n in (15_000, 150_000, 1_500_000, 30_000_000):
+        e = CLOSE.at(n)
+        side = int(np.ceil(np.sqrt(n * e.split / e.per_cell)))
+        sets = [(directions(side, 64, 2 * t + 1), directions(side, 64, 2 * t + 2)) for t in range(e.trees)]
+        a, b = (_cells(v, sets, side, e.split) for v in (x, y))
+        a, b = ({*zip(*map(np.ndarray.tolist, v))} for v in (a, b))
+        assert len({row for row, _ in a & b}) >= 0.93 * len(x), n
+
+
 def test_every_pair_of_a_full_cell_meets(spark):
     from lectern.llm.neighbours import Effort, cell_edges, cell_rows, packed
 
