@@ -1,10 +1,10 @@
-"""Problem 9: texts cut off by field limits, by trigrams that occur inside but never end a text.
+"""Problem 9: texts cut off by field limits, by last lines that end no sentence and close no text.
 
 Tokens are words with their punctuation, and line breaks. A token is kept if it is frequent and
 otherwise stands for its class: w a word, w. a word that ends a sentence, (w one in brackets, # a
 number, ¶ a line break. So a text cut inside a word ends in the trigram of the frequent words
-before it and class w: often found inside texts, and almost never at the end of one. What follows
-a cut in transfer (dots, half an entity, a replacement character, a link) is taken off first.
+before it and class w. How often such a trigram is inside texts and at their ends is counted, but
+doesn't decide; trigrams that open last lines tell closing lines. What follows a cut in transfer (dots, half an entity, a replacement character, a link) is taken off first.
 """
 
 from __future__ import annotations
@@ -66,8 +66,8 @@ def endings(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: st
     unusual share of its source's texts end; leftover that something of a transfer follows.
     inside and final count the text's last trigram within all texts and at their ends.
 
-    A text is cut if its last trigram is final in at most ``rare`` of its occurrences, or has
-    none inside, unless it ends a whole sentence, or a whole closing line of its own after one.
+    A text is cut unless it ends a whole sentence, or a whole closing line of its own after one.
+    Its last trigram doesn't decide, and ``rare`` has no effect; a cut after a dot is not found.
     A closing line is one whose first words open last lines far more often than others; where the
     text is at a limit or has a leftover, the very line must end several texts. A sentence end
     inside an open quotation is none.
