@@ -357,7 +357,8 @@ def close_pairs(records: DataFrame, key: str = "chunk_id", vector: str = "embedd
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int = 64, k: int = 5, beam: int = 16, rounds: int = 5, starts: int = 24) -> DataFrame:
     """(query, id, sim): about the k most similar nodes of each query (query, q), by greedy search.
 
-    Each query starts at ``starts`` nodes chosen by hash and keeps its ``beam`` best; every round
+    Each query starts at ``starts`` nodes of each of its cells, and as many of all, chosen by hash,
+    and keeps its ``beam`` best; every round
     it looks at all neighbours of those, in either direction of the graph. ``nodes`` is (id, q).
     """
     n = max(nodes.count(), 1)
@@ -381,7 +382,15 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int = 64
 
     entry = [r[0] for r in first.collect()]
     seeds: Column = F.explode(F.array(*map(F.lit, entry)) if entry else F.array().cast("array<long>"))
-    now = written(best(scored(queries.select("query", seeds.alias("id"))), beam))
+    e = FULL.at(n)
+    side = max(2, int(np.ceil(np.sqrt(n * e.split / e.per_cell))))
+    cells = lambda of: cell_rows(of, dim, side, e, 1 << 62).select("cell", "id")
+    some = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id"))
+    inside = cells(nodes).withColumn("r", some).where(F.col("r") <= starts).drop("r")
+    asked = queries.select("query", F.xxhash64("q").alias("h"), "q")
+    own = cells(asked.select(F.col("h").alias("id"), "q").distinct()).withColumnRenamed("id", "h").join(inside, "cell")
+    near = asked.select("query", "h").join(own, "h").select("query", "id")
+    now = written(best(scored(near.union(queries.select("query", seeds.alias("id"))).distinct()), beam))
     for _ in range(rounds):
         fresh = now.select("query", "id").join(links, "id").select("query", F.col("nbr").alias("id")).distinct().join(now.select("query", "id"), ["query", "id"], "left_anti")
         now = written(best(now.unionByName(scored(fresh)), beam))
