@@ -19,6 +19,21 @@ def one_per_key(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     return best.select(key, *(F.col(f"_r.{c}").alias(c) for c in cols))
 
 
+def pairs_within(rows: DataFrame, group: str, member: str, size: Column, block: int = 2048) -> DataFrame:
+    """(group, a, b): all pairs a < b of the members of a group; rows are distinct (group, member).
+
+    ``size`` is a column with the number of members of the row's group. A group of more than
+    ``block`` members is divided into blocks by hash, and every pair of blocks is a join key of its
+    own, so its pairs are made by as many tasks as it has pairs of blocks.
+    """
+    n = F.ceil(size / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64(member), n).cast("int")
+    every = F.explode(F.sequence(F.lit(0), n - 1))
+    left = rows.select(group, F.col(member).alias("a"), own.alias("_i"), every.alias("_j"))
+    right = rows.select(group, F.col(member).alias("b"), own.alias("_j"), every.alias("_i"))
+    return left.join(right, [group, "_i", "_j"]).where("a < b").select(group, "a", "b")
+
+
 # -- bounded membership filters ---------------------------------------------------------
 # A filter is a bit per hash value modulo 2**bits: its size is fixed whatever the data, and it
 # never rejects a member. It only spares work; an exact join always follows.

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lectern.llm.bags import SeenBags, U, WordHashes, as_batches, bags, folded, minima, signed
-from lectern.llm.common import bit_array, bit_test
+from lectern.llm.common import bit_array, bit_test, pairs_within
 from lectern.session import written
 
 SYMBOLS = 7
@@ -39,8 +39,6 @@ def cover_keys(mins: np.ndarray, blocks: int = BLOCKS, depth: int = DEPTH) -> np
     return np.stack(out, 1)
 
 
-
-
 def table_rows(records: DataFrame, title: str, text: str, least: int = LEAST_WORDS) -> DataFrame:
     """(k, bag): one row per table and distinct bag, from records with enough words."""
 
@@ -59,14 +57,13 @@ def table_rows(records: DataFrame, title: str, text: str, least: int = LEAST_WOR
 def colliding(rows: DataFrame) -> DataFrame:
     """(a, b): distinct pairs of bags, a < b, that share a key.
 
-    Keys of one bag are dropped by looking at the neighbours in a sorted partition, so the
-    self-join sees only rows that have a partner.
+    Every task that meets a bag gives its rows, so they are made distinct first, where their key
+    lies; the self-join sees only keys of two bags or more, a full key in blocks.
     """
-    by = Window.partitionBy("k").orderBy("bag")
-    near = rows.withColumn("p", F.lag("bag").over(by)).withColumn("n", F.lead("bag").over(by))
-    near = near.where((F.col("p").isNull() | (F.col("p") != F.col("bag"))) & ((F.col("p") != F.col("bag")) | (F.col("n") != F.col("bag")))).select("k", "bag")
-    left, right = near.select("k", F.col("bag").alias("a")), near.select("k", F.col("bag").alias("b"))
-    return left.join(right, "k").where("a < b").select("a", "b").distinct()
+    size = F.count("*").over(Window.partitionBy("k"))
+    # partitioned by the key alone, which serves the distinct rows and the window as well
+    near = rows.repartition("k").dropDuplicates(["k", "bag"]).withColumn("n", size).where("n > 1")
+    return pairs_within(near, "k", "bag", F.col("n")).select("a", "b").distinct()
 
 
 def members(records: DataFrame, key: str, title: str, text: str, wanted: np.ndarray, least: int = LEAST_WORDS, every: bool = False) -> DataFrame:
@@ -132,7 +129,8 @@ def near_pairs(records: DataFrame, key: str = "chunk_id", title: str = "title",
     links, member = near_bags(records, key, title, text, least, least_words)
     left, right = member.select(F.col("bag").alias("a"), F.col("id").alias("x")), member.select(F.col("bag").alias("b"), F.col("id").alias("y"))
     across = links.join(left, "a").join(right, "b").select("x", "y")
-    same = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    copies = member.groupBy("bag").agg(F.count("*").alias("n")).where("n > 1")
+    same = pairs_within(member.join(copies, "bag"), "bag", "id", F.col("n")).select(F.col("a").alias("x"), F.col("b").alias("y"))
     return across.union(same).where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 

@@ -251,6 +251,23 @@ def test_near_pairs_and_groups(spark, chunks, empty):
     assert near_groups(empty).count() == 0
 
 
+def test_pairs_do_not_depend_on_the_partitions(spark):
+    from lectern.llm.common import pairs_within
+    from lectern.llm.nearcopies import colliding, near_pairs
+
+    rows = [(1, 5), (1, 5), (1, 7), (2, 5), (2, 7), (2, 7), (3, 4), (3, 4), (4, 1), (4, 2), (4, 2), (4, 3), (4, 1)]
+    df = spark.createDataFrame(rows, "k long, bag long")
+    for n in (1, 3, 8):
+        assert rows_of(colliding(df.repartition(n))) == {(5, 7), (1, 2), (1, 3), (2, 3)}
+    groups = spark.createDataFrame([(g, m, n) for g, n in ((0, 1), (1, 3), (2, 90)) for m in range(n)], "g int, m int, n long")
+    assert sorted(map(tuple, pairs_within(groups, "g", "m", F.col("n"), 8).collect())) == [(g, a, b) for g, n in ((1, 3), (2, 90)) for a in range(n) for b in range(a + 1, n)]
+    recs = distinct_records()
+    every = make(spark, [(*r, None, None, None) for r in recs])
+    want = {(a[0], b[0]) for i, a in enumerate(recs) for b in recs[i + 1 :] if near(a, b)}
+    for n in (1, 8, 64):
+        assert rows_of(near_pairs(every.repartition(n))) == want
+
+
 def test_every_pair_within_the_radius_collides():
     from lectern.llm.nearcopies import MASKS, cover_keys
 
