@@ -1,22 +1,24 @@
 """Problem 8: mixing sources to target weights, with soft membership.
 
-A naive Bayes classifier, learned from the labelled rows, predicts for every document how
-probable each domain is; a row's own label weighs most of its membership. Distributed projected
-gradient steps then fit a rate of use for each document, between 0 and the cap of its source, so
-that the expected tokens per domain match the targets (least squares). The state of the descent
-is one vector of steps per round: a document's rate is replayed from them, so nothing per
-document is kept between rounds and a lost executor costs only its own tasks.
+The domains are the sources with a target, and one for all others. A naive Bayes classifier,
+learned from labelled rows, predicts for every document how probable each domain is; a row's own
+label weighs most of its membership. Distributed projected gradient steps then fit a rate of use
+for each document, between 0 and the cap of its source, so that the expected tokens per domain
+match the targets (least squares). The state of the descent is one vector of steps per round: a
+document's rate is replayed from them, so nothing per document is kept between rounds and a lost
+executor costs only its own tasks.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bags import WORD, U, WordHashes, as_batches
@@ -29,11 +31,9 @@ BUCKETS = 4096
 #: Share of membership that a labelled row leaves to the classifier.
 SOFT = 0.05
 ROUNDS = 20
-MOST_SOURCES = 1000
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str):
+def encoder(path: str):
     import tiktoken
 
     with open(path, "rb") as f:
@@ -41,9 +41,9 @@ def _encoder(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(texts: list[str | None], path: str) -> np.ndarray:
-    """Tokens of each text; 0 for null. Lone surrogates count as the replacement character."""
-    e = _encoder(path)
+def token_counts(texts: list[str | None], e) -> np.ndarray:
+    """Tokens of each text by the encoder ``e``; 0 for null. Lone surrogates count as the
+    replacement character."""
     return np.array([len(e.encode_ordinary(t)) if t else 0 for t in texts], np.int64)
 
 
@@ -59,32 +59,30 @@ def _features(texts: list[str | None], known: WordHashes) -> tuple[np.ndarray, n
     return (np.array(flat, dtype=U) & U(BUCKETS - 1)).astype(np.int64), np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
 
 
-def fit_domains(docs: DataFrame, sizes: dict[str, int], key: str, text: str, source: str, per_source: int) -> np.ndarray:
-    """(sources + 1, BUCKETS) log-probabilities of word buckets; the last column holds log-priors.
+def fit_domains(docs: DataFrame, sizes: np.ndarray, per_source: int) -> np.ndarray:
+    """(domains, BUCKETS + 1) log-probabilities of word buckets; the last column holds log-priors.
 
-    Counts come from about ``per_source`` labelled rows of each source (all where it has fewer),
-    chosen by a hash of the key and summed in the cluster; priors from all rows.
+    docs: (key, label, text), the label a domain's number or -1. Counts come from about
+    ``per_source`` labelled rows of each domain (all where it has fewer), chosen by a hash of the
+    key and summed in the cluster; priors from all rows, whose numbers are ``sizes``.
     """
-    names = list(sizes)
-    at = {s: i for i, s in enumerate(names)}
-    share = F.create_map(*[x for s, n in sizes.items() for x in (F.lit(s), F.lit(min(1.0, per_source / max(n, 1))))]) if sizes else None
-    if share is None:
-        return np.zeros((0, BUCKETS + 1))
-    pick = F.pmod(F.xxhash64(key, source), F.lit(1_000_000)) < share[F.col(source)] * 1_000_000
+    width = len(sizes)
+    share = F.element_at(F.array(*[F.lit(min(1.0, per_source / max(int(n), 1))) for n in sizes]), F.col("label") + 1)
+    pick = F.pmod(F.xxhash64("key", "label"), F.lit(1_000_000)) < share * 1_000_000
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = WordHashes(), np.zeros((len(names), BUCKETS), np.int64)
+        known, total = WordHashes(), np.zeros((width, BUCKETS), np.int64)
         for batch in as_batches(batches):
             h, start = _features(batch.column(1).to_pylist(), known)
-            own = np.array([at[s] for s in batch.column(0).to_pylist()], np.int64)
+            own = batch.column(0).to_numpy().astype(np.int64)
             total += np.bincount(np.repeat(own, np.diff(start)) * BUCKETS + h, minlength=total.size).reshape(total.shape)
         s, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[s, b])], ["s", "b", "n"])
 
-    rows = docs.where(F.col(source).isin(names) & pick).select(source, text).mapInArrow(count, "s int, b int, n long").groupBy("s", "b").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.ones((len(names), BUCKETS))
+    rows = docs.where("label >= 0").where(pick).select("label", "text").mapInArrow(count, "s int, b int, n long").groupBy("s", "b").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.ones((width, BUCKETS))
     counts[rows["s"].to_numpy(np.int64), rows["b"].to_numpy(np.int64)] += rows["n"].to_numpy(np.float64)
-    prior = np.array([n + 1.0 for n in sizes.values()])
+    prior = sizes + 1.0
     return np.hstack([np.log(counts / counts.sum(1, keepdims=True)), np.log(prior / prior.sum())[:, None]])
 
 
@@ -101,24 +99,26 @@ def _posteriors(h: np.ndarray, start: np.ndarray, model: np.ndarray) -> np.ndarr
     return score / score.sum(1, keepdims=True)
 
 
-def memberships(docs: DataFrame, model: np.ndarray, names: list[str], key: str, text: str, source: str, tokenizer: str) -> DataFrame:
-    """(id, source, tokens, p): tokens and domain membership of every document."""
-    kind = docs.schema[key].dataType.simpleString()
+def memberships(docs: DataFrame, model: np.ndarray, tokenizer: str) -> DataFrame:
+    """(id, source, label, tokens, p): tokens and domain membership of every document.
+
+    The tokenizer's file is read on the driver's machine and sent to the workers."""
+    kind, name = docs.schema["key"].dataType.simpleString(), os.path.basename(tokenizer)
+    docs.sparkSession.sparkContext.addFile(tokenizer)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, at = WordHashes(), {s: i for i, s in enumerate(names)}
+        known, e = WordHashes(), encoder(SparkFiles.get(name))
         for batch in as_batches(batches, 1000):
-            texts = batch.column(2).to_pylist()
-            p = _posteriors(*_features(texts, known), model[:, : BUCKETS + 1]) if names else np.zeros((len(texts), 0))
-            label = np.array([at.get(s, -1) for s in batch.column(1).to_pylist()], np.int64)
+            texts = batch.column(3).to_pylist()
+            p = _posteriors(*_features(texts, known), model)
+            label = batch.column(2).to_numpy().astype(np.int64)
             has = np.flatnonzero(label >= 0)
             p[has] *= SOFT
             p[has, label[has]] += 1 - SOFT
-            flat = pa.array(p.astype(np.float32).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(names)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(token_counts(texts, tokenizer)), lists], ["id", "source", "tokens", "p"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(model)), pa.array(p.astype(np.float32).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(token_counts(texts, e)), lists], ["id", "source", "label", "tokens", "p"])
 
-    return docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col(text).alias("_x")).mapInArrow(rows, f"id {kind}, source string, tokens long, p array<float>")
+    return docs.select("key", "source", "label", "text").mapInArrow(rows, f"id {kind}, source string, label int, tokens long, p array<float>")
 
 
 def _replayed(p: np.ndarray, caps: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -133,25 +133,25 @@ def _matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, width)
 
 
-def fit_rates(rows: DataFrame, names: list[str], caps: dict[str, int], goal: np.ndarray, rounds: int = ROUNDS) -> list[np.ndarray]:
+def fit_rates(rows: DataFrame, caps: np.ndarray, goal: np.ndarray, rounds: int = ROUNDS) -> list[np.ndarray]:
     """The steps of the projected descent on the squared misses of the expected domain tokens.
 
     The gradient is preconditioned by the domains' tokens, which makes a step exact where
     memberships are pure and no cap binds.
     """
-    width = len(names)
+    width = len(goal)
 
     def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             used, own = np.zeros(width), np.zeros(width)
             for batch in batches:
                 p, t = _matrix(batch, "p", width), batch.column("tokens").to_numpy().astype(np.float64)
-                cap = np.array([caps.get(s, 0) for s in batch.column("source").to_pylist()], np.float64)
+                cap = caps[batch.column("label").to_numpy()]
                 used += (_replayed(p, cap, steps) * t) @ p
                 own += ((cap > 0) * t) @ p
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(used), pa.array(own)], ["k", "used", "own"])
 
-        got = rows.select("source", "tokens", "p").mapInArrow(add, "k long, used double, own double").groupBy("k").agg(F.sum("used").alias("used"), F.sum("own").alias("own")).toPandas().sort_values("k")
+        got = rows.select("label", "tokens", "p").mapInArrow(add, "k long, used double, own double").groupBy("k").agg(F.sum("used").alias("used"), F.sum("own").alias("own")).toPandas().sort_values("k")
         out = np.zeros((2, width))
         out[:, got["k"].to_numpy(np.int64)] = got[["used", "own"]].to_numpy().T
         return out[0], out[1]
@@ -175,46 +175,53 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     The size to reach is the tokens of all documents whose source is a target. uses is the rate,
     rounded up with the probability of its fraction by a hash of the key, and at most the
     source's ``max_repeats``. The report has source, target_share, max_repeats, n_docs, tokens,
-    can_reach (max_repeats * tokens >= target_share * size), used_tokens and reached_share.
+    goal_tokens (target_share * size), fitted_tokens (tokens times rates), short (the fitted rates
+    leave the source below its goal), can_reach (max_repeats * tokens >= goal_tokens),
+    used_tokens, reached_share and miss (used_tokens / goal_tokens - 1). As no rate exceeds
+    its cap, every source that can't reach its goal is short.
 
     Null texts have no tokens; documents of null or unlisted source are given memberships but
     never used; rows of equal key count each. Of targets with equal source the greatest counts;
     null shares and repeats are 0. Listed sources without documents are reported. Other columns
-    are ignored. Empty tables give an empty table or a report of zeros. At most MOST_SOURCES
-    sources may occur; a data set of more needs a coarser label.
+    are ignored. Empty tables give an empty table or a report of zeros. The targets are part of
+    the job's configuration: they are read to the driver, the documents' sources are not.
     """
-    rows_t = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).limit(MOST_SOURCES + 1).toPandas()
-    n = docs.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("s")).count().orderBy("s").limit(MOST_SOURCES + 1).toPandas()
-    if max(len(rows_t), len(n)) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sizes = dict(zip(n["s"], n["count"].astype(int)))
-    names = list(sizes)
-    share = {s: float(x) if x == x and x is not None else 0.0 for s, x in zip(rows_t["source"], rows_t["target_share"])}
-    caps = {s: int(x) if x == x and x is not None else 0 for s, x in zip(rows_t["source"], rows_t["max_repeats"])}
-    docs = spread(docs.select(key, text, source))
-    model = fit_domains(docs, sizes, key, text, source, per_source)
-    rows = written(memberships(docs, model, names, key, text, source, tokenizer))
-    per = rows.where(F.col("source").isin(list(share))).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("tokens").alias("tokens"))
+    listed = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).orderBy("source").fillna(0).collect()
+    names = [r.source for r in listed]
+    share = np.array([*(float(r.share) if r.share == r.share else 0.0 for r in listed), 0.0])
+    caps = np.array([*(int(r.cap) for r in listed), 0, 0], np.float64)  # the last is that of label -1
+    place: Column = F.array_position(F.array(*map(F.lit, names)), F.col(source)) if names else F.lit(0)
+    label = F.when(F.col(source).isNull(), -1).otherwise(F.when(place > 0, place - 1).otherwise(len(names))).cast("int")
+    base = spread(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), label.alias("label"), F.col(text).alias("text")))
+    sizes = np.zeros(len(share))
+    for r in base.where("label >= 0").groupBy("label").count().collect():
+        sizes[r["label"]] = r["count"]
+    rows = written(memberships(base, fit_domains(base, sizes, per_source), tokenizer))
+    per = rows.where((F.col("label") >= 0) & (F.col("label") < len(names))).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("tokens").alias("tokens"))
     size = float(per.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
-    steps = fit_rates(rows, names, caps, np.array([share.get(s, 0.0) * size for s in names]), rounds)
-    kind, width = docs.schema[key].dataType.simpleString(), len(names)
+    steps = fit_rates(rows, caps, share * size, rounds)
+    kind, width = docs.schema[key].dataType.simpleString(), len(share)
 
     def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cap = np.array([caps.get(s, 0) for s in batch.column("source").to_pylist()], np.float64)
+            cap = caps[batch.column("label").to_numpy()]
             rate = _replayed(_matrix(batch, "p", width), cap, steps)
             chance = batch.column("chance").to_numpy()
             uses = np.minimum(np.floor(rate) + (chance < rate - np.floor(rate)), cap).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), batch.column("tokens"), pa.array(rate), pa.array(uses)], [key, "source", "tokens", "rate", "uses"])
 
     chance = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)).alias("chance")
-    used = rows.select("id", "source", "tokens", "p", chance).mapInArrow(use, f"`{key}` {kind}, source string, tokens long, rate double, uses long")
-    spark = docs.sparkSession
-    goals = spark.createDataFrame([(s, share[s], caps[s]) for s in share], "source string, target_share double, max_repeats long")
-    sums = used.where("uses > 0").groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"))
+    used = rows.select("id", "source", "label", "tokens", "p", chance).mapInArrow(use, f"`{key}` {kind}, source string, tokens long, rate double, uses long")
+    goals = docs.sparkSession.createDataFrame([(s, float(x), int(c), float(x) * size) for s, x, c in zip(names, share, caps)], "source string, target_share double, max_repeats long, goal_tokens double")
+    sums = used.where("rate > 0").groupBy("source").agg(F.sum(F.col("tokens") * F.col("rate")).alias("fitted"), F.sum(F.col("tokens") * F.col("uses")).alias("used"))
     report = goals.join(per, "source", "left").join(sums, "source", "left").select(
-        "source", "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"),
+        "source", "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "goal_tokens",
+        F.coalesce("fitted", F.lit(0.0)).alias("fitted_tokens"), F.coalesce("used", F.lit(0)).alias("used_tokens"),
     )
     all_used = report.agg(F.sum("used_tokens")).scalar()
-    report = report.withColumn("can_reach", F.col("max_repeats") * F.col("tokens") >= F.col("target_share") * F.lit(size)).withColumn("reached_share", F.coalesce(F.try_divide(F.col("used_tokens").cast("double"), all_used), F.lit(0.0)))
-    return used, report
+    return used, report.withColumns({
+        "short": F.col("fitted_tokens") < F.col("goal_tokens"),
+        "can_reach": F.col("max_repeats") * F.col("tokens") >= F.col("goal_tokens"),
+        "reached_share": F.coalesce(F.try_divide(F.col("used_tokens").cast("double"), all_used), F.lit(0.0)),
+        "miss": F.try_divide(F.col("used_tokens"), F.col("goal_tokens")) - 1,
+    })

@@ -92,9 +92,11 @@ def p7_containment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources that the fitted rates leave short of their goal, and of these, by the definition,
+    those that would be short at their cap too."""
     from lectern.llm.mixing import mix
 
-    return mix(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))[1].where("not can_reach").select("source")
+    return mix(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))[1].where("short and not can_reach").select("source")
 
 
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:

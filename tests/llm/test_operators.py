@@ -466,7 +466,7 @@ def test_leaks(spark):
 
 
 def test_mix(spark):
-    from lectern.llm.mixing import mix, token_counts, TOKENIZER
+    from lectern.llm.mixing import TOKENIZER, encoder, mix, token_counts
 
     rng = random.Random(6)
     words = {"a": VOCAB[:100], "b": VOCAB[100:200], "c": VOCAB[200:300], "d": VOCAB[300:]}
@@ -480,9 +480,11 @@ def test_mix(spark):
     targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.4, 4), ("c", 0.2, 3), ("gone", 0.1, 9), (None, 0.5, 1), ("a", 0.3, 2)], "source string, target_share double, max_repeats int")
     used, report = mix(docs, targets)
     got = {r.source: r for r in report.collect()}
-    size = sum(token_counts([r[1] for r in rows if r[2] in {"a", "b", "c"}], TOKENIZER))
+    size = sum(token_counts([r[1] for r in rows if r[2] in {"a", "b", "c"}], encoder(TOKENIZER)))
     assert set(got) == {"a", "b", "c", "gone"}
     assert {s for s, r in got.items() if not r.can_reach} == {"c", "gone"}
+    assert {s for s, r in got.items() if r.short} >= {"c", "gone"}
+    assert all(r.fitted_tokens <= r.max_repeats * r.tokens + 1e-6 and r.goal_tokens == pytest.approx(r.target_share * size) for r in got.values())
     assert got["a"].used_tokens == pytest.approx(0.3 * size, rel=0.1) and got["b"].used_tokens == pytest.approx(0.4 * size, rel=0.1)
     assert got["c"].used_tokens == 3 * got["c"].tokens
     assert sum(r.reached_share for r in got.values()) == pytest.approx(1)
@@ -494,6 +496,21 @@ def test_mix(spark):
     assert mix(docs, targets.limit(0))[1].count() == 0
 
 
+def test_posteriors_change_the_rates(spark):
+    """Of one source, rows that read like another domain are used at another rate."""
+    from lectern.llm.mixing import mix
+
+    rng = random.Random(3)
+    a, b = VOCAB[:150], VOCAB[200:350]
+    draw = lambda pool: " ".join(rng.choice(pool) for _ in range(40))
+    rows = [(i, draw(a), "a") for i in range(80)] + [(100 + i, draw(b), "b") for i in range(80)] + [(200 + i, draw(b), "a") for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.2, 5), ("b", 0.8, 5)], "source string, target_share double, max_repeats int")
+    rate = {r.doc_id: r.rate for r in mix(docs, targets)[0].collect()}
+    own, alike = [rate[i] for i in range(80)], [rate[200 + i] for i in range(15)]
+    assert min(alike) > max(own)
+
+
 def test_domain_classifier_on_held_out_rows(spark):
     from lectern.llm.bags import WordHashes
     from lectern.llm.mixing import _features, _posteriors, fit_domains
@@ -502,8 +519,8 @@ def test_domain_classifier_on_held_out_rows(spark):
     pools = {"x": VOCAB[:200], "y": VOCAB[150:350], "z": VOCAB[200:]}
     draw = lambda s: " ".join(rng.choice(pools[s]) for _ in range(60))
     rows = [(i, draw(s), s) for i, s in enumerate("xyz" * 80)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    model = fit_domains(docs, {"x": 80, "y": 80, "z": 80}, "doc_id", "text", "source", 60)
+    docs = spark.createDataFrame([(i, "xyz".index(s), t) for i, t, s in rows], "key long, label int, text string")
+    model = fit_domains(docs, np.array([80.0, 80.0, 80.0]), 60)
     test = [(draw(s), k) for _ in range(40) for k, s in enumerate("xyz")]
     p = _posteriors(*_features([t for t, _ in test], WordHashes()), model)
     assert (p.argmax(1) == [k for _, k in test]).mean() > 0.95
