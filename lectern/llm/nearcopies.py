@@ -26,6 +26,9 @@ BLOCKS = 16
 DEPTH = 3
 LEAST_WORDS = 20
 BITS = 23
+#: Bits of a table key. Keys that agree by chance only add candidates, less than one to a bag up to
+#: 10**10 bags, and shorter keys make the widest shuffle narrower.
+KEY_BITS = 48
 MASKS = [[i for i in range(SYMBOLS) if ((i + 1) & v).bit_count() % 2] for v in range(1, SYMBOLS + 1)]
 
 
@@ -49,7 +52,7 @@ def table_rows(records: DataFrame, title: str, text: str, least: int = LEAST_WOR
             ids = b.identity()
             take = np.flatnonzero((b.text_words >= least) & seen.first(ids))
             keys = cover_keys(minima(b, BLOCKS * SYMBOLS * DEPTH)[take])
-            yield pa.RecordBatch.from_arrays([signed(keys.ravel()), signed(np.repeat(ids[take], keys.shape[1]))], ["k", "bag"])
+            yield pa.RecordBatch.from_arrays([signed(keys.ravel() >> U(64 - KEY_BITS)), signed(np.repeat(ids[take], keys.shape[1]))], ["k", "bag"])
 
     return records.select(F.col(title).alias("_t"), F.col(text).alias("_x")).mapInArrow(rows, "k long, bag long")
 
@@ -62,7 +65,7 @@ def colliding(rows: DataFrame) -> DataFrame:
     """
     size = F.count("*").over(Window.partitionBy("k"))
     # partitioned by the key alone, which serves the distinct rows and the window as well
-    near = rows.repartition("k").dropDuplicates(["k", "bag"]).withColumn("n", size).where("n > 1")
+    near = written(rows.repartition("k").dropDuplicates(["k", "bag"]).withColumn("n", size).where("n > 1"))
     return pairs_within(near, "k", "bag", F.col("n")).select("a", "b").distinct()
 
 
