@@ -1,34 +1,43 @@
-"""Problem 9: texts cut off by field limits, by last lines that end no sentence and close no text.
-
-Tokens are words with their punctuation, and line breaks. A token is kept if it is frequent and
-otherwise stands for its class: w a word, w. a word that ends a sentence, (w one in brackets, # a
-number, ¶ a line break. So a text cut inside a word ends in the trigram of the frequent words
-before it and class w. How often such a trigram is inside texts and at their ends is counted, but
-doesn't decide; trigrams that open last lines tell closing lines. What follows a cut in transfer (dots, half an entity, a replacement character, a link) is taken off first.
+"""Problem 9: texts cut off by field limits, by final trigrams that are frequent inside and rare at ends.
+
+Tokens are runs of non-whitespace within a line. A token is itself if it is frequent, and
+otherwise its class: a word, one that ends a sentence, one in brackets, a number. Every token of
+every text has one gram of three tokens:
+
+- the two tokens before it and its class, so a text cut inside a word ends in the same gram as one
+  cut after it;
+- before the end of a line's first sentence, the two tokens that open the line and its class, since
+  headings and closing lines are told by how they begin.
+
+How often a gram stands in all texts and how often it is the last of one are counted over all
+texts. A whole sentence ends a text far more often than the average token does, a broken one
+hardly ever; the text's own end is left out of its counts. A gram that is too seldom to tell is
+judged by two tokens, then by classes alone. What follows a cut in transfer (dots, half an entity,
+a replacement character, a link) is taken off first.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lectern.session import spread, written
 
 #: What a transfer leaves behind a cut, at the end of a text.
-LEFT = r"(?is)(?:\s|�|\[(?:\.\.\.|…|truncated)\]|(?:\.\.\.|…)\s*(?:read more|continue reading|more)?|&(?:[a-z]{1,6}|#\d{0,6})?;?|<[^<>]*>?)+$"
-SENTENCE_END = r"[.!?。！？][\"')\]”’»]*$"
+LEFT = r"(?is)(?:\s|�|\[(?:\.\.\.|…|truncated)\]|(?:\.\.\.|…)\s*(?:read more|continue reading|more)?|&(?:[a-z]{1,6}|#\d{0,6})?;?|<[^<>]*>?)+\z"
+SENTENCE_END = r"[.!?。！？][\"')\]”’»]*\z"
 #: A last sentence that opens a quotation and ends without closing it.
-OPEN_QUOTE = r"(?:^|\n|[.!?][\"')\]”’»]*\s)\s*\"[^\"\n]*$"
-COMMON, ENDERS = 300, 100
-
-
-#: Before a token: none, a last one of a text, a first one of a last line.
-MARKS = ("", "\u0001", "\u0002")
+OPEN_QUOTE = r"(?:\A|[.!?][\"')\]”’»]*\s)\s*\"[^\"]*\z"
+#: Frequent tokens that stand for themselves, and frequent first tokens of last lines.
+COMMON, OPENERS = 40, 40
+#: Other places at which a gram must stand to be told by itself: with a line's opening, with the tokens before.
+LEAST_OPEN, LEAST_INSIDE = 3, 100
 #: What a sentence may end with.
 CLOSERS = (".", "!", "?", "。", "！", "？", '"', "'", ")", "]", "”", "’", "»")
 #: Characters looked at first; what needs more is looked at whole.
 TAIL = 256
+#: Class names; no token has whitespace in it.
+WORD, END, BRACKET, NUMBER, LAST_NUMBER = " w", " w.", " (w", " #", " #."
 
 
 def _let(c: Column, body) -> Column:
@@ -36,113 +45,132 @@ def _let(c: Column, body) -> Column:
     return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
+def _tokens(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
+
+
 def _core(x: Column) -> Column:
     """The text without what a transfer left behind it."""
     tail = F.regexp_replace(F.right(x, F.lit(TAIL)), LEFT, "")
     return _let(tail, lambda t: F.when((t != "") & (F.length(x) > TAIL), F.concat(F.substring(x, F.lit(1), F.length(x) - TAIL), t)).when(F.length(x) <= TAIL, t).otherwise(F.regexp_replace(x, LEFT, "")))
 
 
-def _frequent(tokens: DataFrame, most: list[int]) -> list[str]:
-    """The ``most[k]`` most frequent tokens of kind k, those with the mark k before them: a list
-    of bounded length."""
-    counts = tokens.where("t is not null and t <> ''").groupBy("t").count()
-    counts = counts.withColumn("kind", F.when(F.startswith("t", F.lit(MARKS[1])), 1).when(F.startswith("t", F.lit(MARKS[2])), 2).otherwise(0))
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("count"), "t"))
-    bound = F.element_at(F.array(*map(F.lit, most)), F.col("kind") + 1)
-    top = counts.withColumn("r", rank).where(F.col("r") <= max(most)).where(F.col("r") <= bound).select("t")
-    return sorted({r["t"].lstrip("".join(MARKS)) for r in top.collect()})
+def _line(core: Column) -> Column:
+    """The last line; within an open quotation it doesn't end a sentence."""
+    return _let(F.substring_index(core, "\n", -1), lambda x: F.when(F.rlike(x, F.lit(OPEN_QUOTE)), F.regexp_replace(x, SENTENCE_END, "")).otherwise(x))
 
 
-def _class(t: Column, known: list[str]) -> Column:
+def _ends(t: Column) -> Column:
+    return F.right(t, F.lit(1)).isin(*CLOSERS) & F.rlike(t, F.lit(SENTENCE_END))
+
+
+def _class(t: Column) -> Column:
     first = F.substring(t, 1, 1)
-    ends = F.right(t, F.lit(1)).isin(*CLOSERS) & F.rlike(t, F.lit(SENTENCE_END))
-    return F.when(first == "\n", "¶").when(t.isin(known), t).when(first.between("0", "9"), "#").when(ends, "w.").when(first == "(", "(w").otherwise("w")
+    return F.when(first.between("0", "9"), F.when(_ends(t), LAST_NUMBER).otherwise(NUMBER)).when(_ends(t), END).when(first == "(", BRACKET).otherwise(WORD)
+
+
+def _frequent(base: DataFrame, common: int, openers: int) -> tuple[list[str], list[str]]:
+    """The most frequent tokens, and the most frequent first tokens of last lines that end no
+    sentence, of those that neither end a sentence nor begin with a digit: two short lists."""
+
+    def marked(x: Column) -> Column:
+        line = _line(x)
+        first = F.when(~F.rlike(line, F.lit(SENTENCE_END)), F.regexp_extract(line, r"\S+", 0))
+        return F.array_append(_tokens(x), F.concat(F.lit(" "), F.coalesce(first, F.lit(""))))
+
+    tokens = base.select(F.explode(_let(_core(F.lower("_x")), marked)).alias("t"))
+    counts = tokens.groupBy("t").count().where(~F.trim("t").rlike(r"^(?:[0-9]|\z)") & ~F.rlike("t", F.lit(SENTENCE_END)))
+    head = lambda own, most: counts.where(own).orderBy(F.desc("count"), "t").limit(most).select("t")
+    opens = F.startswith("t", F.lit(" "))
+    both = [r["t"] for r in head(~opens, common).unionAll(head(opens, openers)).collect()]
+    return [t for t in both if t[0] != " "], [t[1:] for t in both if t[0] == " "]
+
+
+def _grams(tokens: Column, common: list[str], openers: list[str], at=None) -> Column:
+    """(g1, g2, g3, least) of every token of a line, or of the one at ``at(number of tokens)``:
+    hashes of its gram and of the two shorter ones, and how often the first must stand elsewhere."""
+
+    def struct(*parts) -> Column:
+        return F.struct(*(F.xxhash64(*p).alias(f"g{i}") for i, p in enumerate(parts[:3], 1)), F.lit(parts[3]).alias("least"))
+
+    def line(c: Column) -> Column:
+        field = lambda i, k: F.get(c, i)[k]
+        first = F.array_position(F.transform(c, lambda x: x["kind"].isin(END, LAST_NUMBER)), True)
+
+        def gram(i: Column, f: Column) -> Column:
+            # a missing neighbour is a null, which a hash passes over; the marks keep the places apart
+            one, two, kind = field(F.lit(0), "open"), F.when(i > 0, field(F.lit(1), "open")), field(i, "kind")
+            opening = struct((F.lit("^"), one, F.lit("|"), two, F.lit("|"), kind, F.least(i, F.lit(2))), (F.lit("^"), one, kind, F.least(i, F.lit(1))), (F.lit("^^"), field(F.lit(0), "kind"), kind, F.least(i, F.lit(1))), LEAST_OPEN)
+            inside = struct((F.when(i > 1, field(i - 2, "own")), F.lit("|"), F.when(i > 0, field(i - 1, "own")), F.lit("|"), kind), (F.lit("|"), F.when(i > 0, field(i - 1, "own")), F.lit("|"), kind), (F.lit("||"), F.when(i > 0, field(i - 1, "kind")), F.lit("|"), kind), LEAST_INSIDE)
+            return F.when((f == 0) | (i < f - 1), opening).otherwise(inside)
+
+        if at is not None:
+            return _let(first, lambda f: gram(at(F.size(c)), f))
+        return _let(first, lambda f: F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda i: gram(i, f)))
+
+    named = lambda own, opens, kind: F.struct(own.alias("own"), opens.alias("open"), kind.alias("kind"))
+    word = F.lit(WORD)
+    classes = F.transform(tokens, lambda t: F.when(t.isin(common), named(t, t, word)).when(t.isin(openers), named(word, t, word)).otherwise(_let(_class(t), lambda k: named(k, k, k))))
+    return _let(classes, line)
 
 
-def endings(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", rare: float = 0.02) -> DataFrame:
+def endings(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", rare: float = 1.5, common: int = COMMON, openers: int = OPENERS) -> DataFrame:
     """(doc, source, cut, at_limit, leftover, inside, final): how each text ends.
 
     cut tells that the running text breaks off; at_limit that its length is one at which an
     unusual share of its source's texts end; leftover that something of a transfer follows.
-    inside and final count the text's last trigram within all texts and at their ends.
+    inside and final count the gram that decided, in all other places and at all other ends.
 
-    A text is cut unless it ends a whole sentence, or a whole closing line of its own after one.
-    Its last trigram doesn't decide, and ``rare`` has no effect; a cut after a dot is not found.
-    A closing line is one whose first words open last lines far more often than others; where the
-    text is at a limit or has a leftover, the very line must end several texts. A sentence end
-    inside an open quotation is none.
+    A text is cut if its last gram ends at most ``rare`` times as large a share of its places as
+    the average token does. Where even its classes stand in fewer than LEAST_OPEN other places, a
+    token that ends a sentence ends a text.
 
     Null texts give no row; empty and blank ones are not cut. Rows of equal id are judged each
     for itself and come once if equal. Null sources are one source. Other columns are ignored. An
     empty table gives no rows.
 
-    Trigrams are pre-aggregated before they move, classes keep their number small, and the join
-    back is on the few distinct last trigrams.
+    Counts are pre-aggregated before they move; the grams are hashes of few frequent tokens and
+    classes, so their number doesn't grow with the texts, and the join back is on the last ones.
     """
     base = spread(docs.select(F.col(doc).alias("_d"), F.col(source).alias("_s"), F.col(text).alias("_x")).where("_x is not null"))
-    tokens = lambda c: F.regexp_extract_all(c, F.lit(r"\S+|\n+"), F.lit(0))
-    plain = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
-
-    # in one pass: all tokens, and the first and last of last lines that end no sentence
-    low = F.lower("_x")
-    line = F.substring_index(_core(low), "\n", -1)
-    shown = F.when(~F.rlike(line, F.lit(SENTENCE_END)), plain(line))
-    ends = _let(shown, lambda t: F.array(F.concat(F.lit(MARKS[1]), F.try_element_at(t, F.lit(-1))), F.concat(F.lit(MARKS[2]), F.try_element_at(t, F.lit(1)))))
-    # numbers have a class of their own, so they need no place in the list
-    words = [w for w in _frequent(base.select(F.explode(F.concat(plain(low), ends)).alias("t")), [COMMON, ENDERS, ENDERS]) if not "0" <= w[0] <= "9"]
-
-    def folded(t: Column) -> Column:
-        return F.concat(F.array(F.lit("¶"), F.lit("¶")), F.transform(t, lambda x: _class(x, words)))
-
-    def gram(f: Column, i: Column) -> Column:
-        return F.xxhash64(F.get(f, i), F.get(f, i + 1), F.get(f, i + 2))
-
-    def grams(f: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(f) - 3), lambda i: gram(f, i))
-
-    inside = base.where(F.trim("_x") != "").select(F.explode(_let(folded(tokens(low)), grams)).alias("g")).groupBy("g").agg(F.count("*").alias("all"))
-
-    def described(core: Column, line: Column) -> Column:
-        near = tokens(F.lower(F.right(core, F.lit(TAIL))))
-        last3 = F.when((F.size(near) > 3) | (F.length(core) <= TAIL), near).otherwise(tokens(F.lower(core)))
-        last = _let(folded(F.reverse(F.slice(F.reverse(last3), 1, 3))), lambda e: gram(e, F.size(e) - 3))
-        first = F.concat(F.array(F.lit("¶")), F.transform(F.slice(plain(F.lower(line)), 1, 2), lambda x: _class(x, words)), F.array(F.lit("$")))
-        before = F.rtrim(F.replace(F.substring(core, F.lit(1), F.length(core) - F.length(line)), F.lit("\n"), F.lit(" ")))
-        level = F.length(F.replace(line, F.lit("("))) == F.length(F.replace(line, F.lit(")")))
-        return F.struct(
-            last.alias("last"),
-            _let(first, lambda o: gram(o, F.lit(0))).alias("open"),
-            _let(first, lambda o: ~F.forall(F.slice(o, 2, 2), lambda x: x.isin("w", "w.", "$"))).alias("some_word"),
-            F.regexp_replace(F.lower(F.trim(line)), r"\d+", "#").alias("same"),
-            (F.length(core) < F.length(F.rtrim(F.replace(F.col("_x"), F.lit("\n"), F.lit(" "))))).alias("leftover"),
-            (F.rlike(line, F.lit(SENTENCE_END)) & ~F.rlike(line, F.lit(OPEN_QUOTE))).alias("sentence"),
-            ((core != line) & F.rlike(F.right(before, F.lit(TAIL)), F.lit(SENTENCE_END)) & ~F.rlike(line, F.lit(r"[.!?][\"')\]”’»]*\s")) & level).alias("own_line"),
-        )
-
-    seen = _let(_core(F.col("_x")), lambda core: F.when(core != "", _let(F.substring_index(core, "\n", -1), lambda line: described(core, line))))
+    known = _frequent(base, common, openers)
+
+    def counted(core: Column) -> Column:
+        """All grams of a text, each with 0, and the last one again with 1."""
+        before = F.substring(core, F.lit(1), F.length(core) - F.length(F.substring_index(core, "\n", -1)))
+        lines = F.filter(F.transform(F.array_append(F.split(before, "\n"), _line(core)), _tokens), lambda x: F.size(x) > 0)
+        every = F.flatten(F.transform(lines, lambda x: _grams(x, *known)))
+        tag = lambda g, last: F.struct(*(g[k].alias(k) for k in ("g1", "g2", "g3", "least")), F.lit(last).cast("long").alias("last"))
+        return _let(every, lambda e: F.array_append(F.transform(e, lambda g: tag(g, 0)), tag(F.element_at(e, -1), 1)))
+
+    grams = base.where(F.rlike("_x", F.lit(r"\S"))).select(_let(_core(F.lower("_x")), lambda c: F.when(F.rlike(c, F.lit(r"\S")), counted(c))).alias("g")).select(F.explode("g").alias("g"))
+    n, t = F.sum(1 - F.col("last")).alias("n"), F.sum("last").alias("t")
+    stat = written(grams.select("g.*").groupBy("g1", "g2", "g3", "least").agg(n, t))
+
+    seen = _let(_core(F.lower("_x")), lambda core: F.when(core != "", F.struct(
+        _grams(_tokens(_line(core)), *known, lambda size: size - 1).alias("g"), F.rlike(_line(core), F.lit(SENTENCE_END)).alias("ends"),
+        (F.length(core) < F.length(F.rtrim(F.replace("_x", F.lit("\n"), F.lit(" "))))).alias("leftover"),
+    )))
     # as it stands, since a filter or a field taken here would compute it again
-    f = written(base.select("_d", "_s", F.length("_x").alias("size"), seen.alias("e"))).where("e is not null").select("_d", "_s", "size", "e.*")
+    f = written(base.select("_d", "_s", F.length("_x").alias("size"), seen.alias("e"))).where("e is not null").select("_d", "_s", "size", "e.leftover", "e.ends", "e.g.g1")
+
+    # the few grams that end texts, and what each comes to
+    two = stat.groupBy("g2").agg(F.sum("n").alias("n2"), F.sum("t").alias("t2"))
+    three = stat.groupBy("g3").agg(F.sum("n").alias("n3"), F.sum("t").alias("t3"))
+    whole = stat.agg(F.struct(F.sum("n").alias("n"), F.sum("t").alias("t"))).scalar()
+    last = stat.where("t > 0").join(two, "g2").join(three, "g3").withColumn("_all", whole)
+    enough = lambda k, least: F.col(k) > least
+    level = F.when(enough("n", F.col("least")), 1).when(enough("n2", F.col("least")), 2).when(enough("n3", LEAST_OPEN), 3).otherwise(0)
+    pick = lambda c: F.when(level == 1, F.col(c)).when(level == 2, F.col(f"{c}2")).otherwise(F.col(f"{c}3")) - 1
+    last = last.select("g1", level.alias("level"), pick("n").alias("inside"), pick("t").alias("final"), F.col("_all"))
+    low = F.col("final") * F.col("_all.n") <= rare * F.col("inside") * F.col("_all.t")
 
-    finals = f.groupBy("last").agg(F.count("*").alias("final"))
-    opens = f.where("own_line and not sentence").groupBy("open").agg(F.count("*").alias("n_open"))
-    sames = f.where("own_line and not sentence").groupBy("same").agg(F.count("*").alias("n_same"))
     total = f.groupBy("_s").agg(F.count("*").alias("n_source"))
     spike = f.groupBy("_s", "size").agg(F.count("*").alias("n_size"))
     limits = spike.join(total, spike["_s"].eqNullSafe(total["_s"])).where("n_size >= 5 and n_size >= 0.04 * n_source").select(spike["_s"].alias("ls"), F.col("size").alias("lsize"), F.lit(True).alias("at_limit"))
-    inner = inside.withColumnRenamed("g", "ig")
-    first = inside.select(F.col("g").alias("og"), F.col("all").alias("all_open"))
-    out = f.join(finals, "last").join(inner, F.col("last") == F.col("ig"), "left").join(opens, "open", "left").join(first, F.col("open") == F.col("og"), "left").join(sames, "same", "left")
-    out = out.join(limits, F.col("_s").eqNullSafe(F.col("ls")) & (F.col("size") == F.col("lsize")), "left")
-    limit, left = F.coalesce("at_limit", F.lit(False)), F.col("leftover")
-    n_in = F.greatest(F.coalesce("all", F.lit(0)) - F.col("final"), F.lit(0))
-    seldom = F.col("final") <= rare * (F.col("final") + n_in)
-    odd = seldom | (F.col("final") < 3) | ~F.col("sentence")
-    # first words that open last lines, and seldom others
-    opens_end = F.col("n_open") >= 0.5 * F.coalesce("all_open", F.lit(0))
-    known = F.when(limit | left, F.col("n_same") >= 3).otherwise((F.col("some_word") & (F.col("n_open") >= 2)) | (F.col("n_same") >= 20))
-    closing = F.coalesce(F.col("own_line") & opens_end & known, F.lit(False))
-    cut = odd & ~F.col("sentence") & ~closing
-    return out.select(F.col("_d").alias(doc), F.col("_s").alias(source), cut.alias("cut"), limit.alias("at_limit"), left, n_in.alias("inside"), "final").distinct()
+    out = f.join(last, "g1").join(limits, F.col("_s").eqNullSafe(F.col("ls")) & (F.col("size") == F.col("lsize")), "left")
+    cut = F.when(F.col("level") > 0, low).otherwise(~F.col("ends"))
+    return out.select(F.col("_d").alias(doc), F.col("_s").alias(source), cut.alias("cut"), F.coalesce("at_limit", F.lit(False)).alias("at_limit"), "leftover", "inside", "final").distinct()
 
 
 def cut_rates(found: DataFrame, source: str = "source") -> DataFrame:
