@@ -36,8 +36,9 @@ LEAST_OPEN, LEAST_INSIDE = 3, 100
 CLOSERS = (".", "!", "?", "。", "！", "？", '"', "'", ")", "]", "”", "’", "»")
 #: Characters looked at first; what needs more is looked at whole.
 TAIL = 256
-#: Class names; no token has whitespace in it.
-WORD, END, BRACKET, NUMBER, LAST_NUMBER = " w", " w.", " (w", " #", " #."
+#: Class names: a word, one that ends a sentence, one in brackets, a number, one that ends a
+#: sentence. Tokens are lower-cased, so none is a class name.
+WORD, END, BRACKET, NUMBER, LAST_NUMBER = CLASSES = ("W", "E", "B", "N", "M")
 
 
 def _let(c: Column, body) -> Column:
@@ -61,7 +62,7 @@ def _line(core: Column) -> Column:
 
 
 def _ends(t: Column) -> Column:
-    return F.right(t, F.lit(1)).isin(*CLOSERS) & F.rlike(t, F.lit(SENTENCE_END))
+    return F.substring(t, -1, 1).isin(*CLOSERS) & F.rlike(t, F.lit(SENTENCE_END))
 
 
 def _class(t: Column) -> Column:
@@ -78,7 +79,8 @@ def _frequent(base: DataFrame, common: int, openers: int) -> tuple[list[str], li
         first = F.when(~F.rlike(line, F.lit(SENTENCE_END)), F.regexp_extract(line, r"\S+", 0))
         return F.array_append(_tokens(x), F.concat(F.lit(" "), F.coalesce(first, F.lit(""))))
 
-    tokens = base.select(F.explode(_let(_core(F.lower("_x")), marked)).alias("t"))
+    # outer, since the filter that goes with an inner explode would make its array again
+    tokens = base.select(F.explode_outer(_let(_core(F.lower("_x")), marked)).alias("t"))
     counts = tokens.groupBy("t").count().where(~F.trim("t").rlike(r"^(?:[0-9]|\z)") & ~F.rlike("t", F.lit(SENTENCE_END)))
     head = lambda own, most: counts.where(own).orderBy(F.desc("count"), "t").limit(most).select("t")
     opens = F.startswith("t", F.lit(" "))
@@ -86,32 +88,41 @@ def _frequent(base: DataFrame, common: int, openers: int) -> tuple[list[str], li
     return [t for t in both if t[0] != " "], [t[1:] for t in both if t[0] == " "]
 
 
-def _grams(tokens: Column, common: list[str], openers: list[str], at=None) -> Column:
-    """(g1, g2, g3, least) of every token of a line, or of the one at ``at(number of tokens)``:
-    hashes of its gram and of the two shorter ones, and how often the first must stand elsewhere."""
-
-    def struct(*parts) -> Column:
-        return F.struct(*(F.xxhash64(*p).alias(f"g{i}") for i, p in enumerate(parts[:3], 1)), F.lit(parts[3]).alias("least"))
+def _grams(tokens: Column, common: list[str], openers: list[str], last: bool = False) -> Column:
+    """The gram of every token of a line, or of its last token: ``^ first second place token`` before
+    the end of its first sentence, place being 0, 1 or 2 for further, else the token after up to two others."""
+    own = F.transform(tokens, lambda t: F.when(t.isin(common), t).otherwise(_class(t)))
 
     def line(c: Column) -> Column:
-        field = lambda i, k: F.get(c, i)[k]
-        first = F.array_position(F.transform(c, lambda x: x["kind"].isin(END, LAST_NUMBER)), True)
+        ends = [F.nullif(F.array_position(c, k), F.lit(0).cast("long")) for k in (END, LAST_NUMBER)]
+        opens = [_let(F.get(tokens, F.lit(k)), lambda t, k=k: F.when(t.isin(openers), t).otherwise(F.get(c, F.lit(k)))) for k in (0, 1)]
+        head = F.struct(F.coalesce(F.least(*ends), F.lit(1 << 40)).alias("first"), F.concat(F.lit("^ "), opens[0], F.lit(" - 0 ")).alias("zero"), F.concat(F.lit("^ "), opens[0], F.lit(" "), opens[1], F.lit(" ")).alias("one"))
+
+        def gram(x: Column, i: Column, h: Column) -> Column:
+            opening = F.when(i == 0, F.concat(h["zero"], x)).when(i == 1, F.concat(h["one"], F.lit("1 "), x)).otherwise(F.concat(h["one"], F.lit("2 "), x))
+            return F.when(i + 1 < h["first"], opening).otherwise(F.concat_ws(" ", F.get(c, i - 2), F.get(c, i - 1), x))
+
+        if last:
+            return _let(head, lambda h: gram(F.element_at(c, -1), F.size(c) - 1, h))
+        return _let(head, lambda h: F.transform(c, lambda x, i: gram(x, i, h)))
 
-        def gram(i: Column, f: Column) -> Column:
-            # a missing neighbour is a null, which a hash passes over; the marks keep the places apart
-            one, two, kind = field(F.lit(0), "open"), F.when(i > 0, field(F.lit(1), "open")), field(i, "kind")
-            opening = struct((F.lit("^"), one, F.lit("|"), two, F.lit("|"), kind, F.least(i, F.lit(2))), (F.lit("^"), one, kind, F.least(i, F.lit(1))), (F.lit("^^"), field(F.lit(0), "kind"), kind, F.least(i, F.lit(1))), LEAST_OPEN)
-            inside = struct((F.when(i > 1, field(i - 2, "own")), F.lit("|"), F.when(i > 0, field(i - 1, "own")), F.lit("|"), kind), (F.lit("|"), F.when(i > 0, field(i - 1, "own")), F.lit("|"), kind), (F.lit("||"), F.when(i > 0, field(i - 1, "kind")), F.lit("|"), kind), LEAST_INSIDE)
-            return F.when((f == 0) | (i < f - 1), opening).otherwise(inside)
+    return _let(own, line)
 
-        if at is not None:
-            return _let(first, lambda f: gram(at(F.size(c)), f))
-        return _let(first, lambda f: F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda i: gram(i, f)))
 
-    named = lambda own, opens, kind: F.struct(own.alias("own"), opens.alias("open"), kind.alias("kind"))
-    word = F.lit(WORD)
-    classes = F.transform(tokens, lambda t: F.when(t.isin(common), named(t, t, word)).when(t.isin(openers), named(word, t, word)).otherwise(_let(_class(t), lambda k: named(k, k, k))))
-    return _let(classes, line)
+def _shorter(grams: DataFrame) -> DataFrame:
+    """``grams`` with g1, g2, g3 and least: the gram with the class of its last token, the two
+    shorter ones, and how often the first must stand elsewhere to tell."""
+    p = F.split("g", " ")
+    kind = lambda c: F.when(c.isin(*CLASSES), c).otherwise(WORD)
+    x, b, opening = kind(F.element_at(p, -1)), F.try_element_at(p, F.lit(-2)), F.startswith("g", F.lit("^ "))
+    one, place = F.get(p, F.lit(1)), F.least(F.get(p, F.lit(3)), F.lit("1"))
+    before = F.array_join(F.slice(p, 1, F.size(p) - 1), " ")
+    return grams.select(
+        "*", F.concat_ws(" ", before, x).alias("g1"),
+        F.when(opening, F.concat_ws(" ", F.lit("^"), one, place, x)).otherwise(F.concat_ws(" ", F.lit("|"), b, x)).alias("g2"),
+        F.when(opening, F.concat_ws(" ", F.lit("^^"), kind(one), place, x)).otherwise(F.concat_ws(" ", F.lit("||"), kind(b), x)).alias("g3"),
+        F.when(opening, LEAST_OPEN).otherwise(LEAST_INSIDE).alias("least"),
+    )
 
 
 def endings(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", rare: float = 1.5, common: int = COMMON, openers: int = OPENERS) -> DataFrame:
@@ -136,39 +147,40 @@ def endings(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: st
     known = _frequent(base, common, openers)
 
     def counted(core: Column) -> Column:
-        """All grams of a text, each with 0, and the last one again with 1."""
+        """All grams of a text, and the last one again with a mark before it."""
         before = F.substring(core, F.lit(1), F.length(core) - F.length(F.substring_index(core, "\n", -1)))
         lines = F.filter(F.transform(F.array_append(F.split(before, "\n"), _line(core)), _tokens), lambda x: F.size(x) > 0)
         every = F.flatten(F.transform(lines, lambda x: _grams(x, *known)))
-        tag = lambda g, last: F.struct(*(g[k].alias(k) for k in ("g1", "g2", "g3", "least")), F.lit(last).cast("long").alias("last"))
-        return _let(every, lambda e: F.array_append(F.transform(e, lambda g: tag(g, 0)), tag(F.element_at(e, -1), 1)))
+        return _let(every, lambda e: F.array_append(e, F.concat(F.lit("$"), F.element_at(e, -1))))
 
-    grams = base.where(F.rlike("_x", F.lit(r"\S"))).select(_let(_core(F.lower("_x")), lambda c: F.when(F.rlike(c, F.lit(r"\S")), counted(c))).alias("g")).select(F.explode("g").alias("g"))
-    n, t = F.sum(1 - F.col("last")).alias("n"), F.sum("last").alias("t")
-    stat = written(grams.select("g.*").groupBy("g1", "g2", "g3", "least").agg(n, t))
+    grams = base.select(_let(_core(F.lower("_x")), lambda c: F.when(F.rlike(c, F.lit(r"\S")), counted(c))).alias("g")).select(F.explode_outer("g").alias("g")).where("g is not null")
+    counts = grams.groupBy("g").agg(F.count("*").alias("n"))
+    final = F.startswith("g", F.lit("$"))
+    own = counts.select(F.when(final, F.substring("g", 2, 1 << 30)).otherwise(F.col("g")).alias("g"), F.when(final, 0).otherwise(F.col("n")).alias("n"), F.when(final, F.col("n")).otherwise(0).alias("t"))
+    stat = written(_shorter(own.groupBy("g").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))))
 
     seen = _let(_core(F.lower("_x")), lambda core: F.when(core != "", F.struct(
-        _grams(_tokens(_line(core)), *known, lambda size: size - 1).alias("g"), F.rlike(_line(core), F.lit(SENTENCE_END)).alias("ends"),
+        _let(_tokens(_line(core)), lambda t: _grams(t, *known, last=True)).alias("g"), F.rlike(_line(core), F.lit(SENTENCE_END)).alias("ends"),
         (F.length(core) < F.length(F.rtrim(F.replace("_x", F.lit("\n"), F.lit(" "))))).alias("leftover"),
     )))
     # as it stands, since a filter or a field taken here would compute it again
-    f = written(base.select("_d", "_s", F.length("_x").alias("size"), seen.alias("e"))).where("e is not null").select("_d", "_s", "size", "e.leftover", "e.ends", "e.g.g1")
+    f = written(base.select("_d", "_s", F.length("_x").alias("size"), seen.alias("e"))).where("e is not null").select("_d", "_s", "size", "e.*")
 
     # the few grams that end texts, and what each comes to
+    one = stat.groupBy("g1").agg(F.sum("n").alias("n1"), F.sum("t").alias("t1"))
     two = stat.groupBy("g2").agg(F.sum("n").alias("n2"), F.sum("t").alias("t2"))
     three = stat.groupBy("g3").agg(F.sum("n").alias("n3"), F.sum("t").alias("t3"))
     whole = stat.agg(F.struct(F.sum("n").alias("n"), F.sum("t").alias("t"))).scalar()
-    last = stat.where("t > 0").join(two, "g2").join(three, "g3").withColumn("_all", whole)
-    enough = lambda k, least: F.col(k) > least
-    level = F.when(enough("n", F.col("least")), 1).when(enough("n2", F.col("least")), 2).when(enough("n3", LEAST_OPEN), 3).otherwise(0)
-    pick = lambda c: F.when(level == 1, F.col(c)).when(level == 2, F.col(f"{c}2")).otherwise(F.col(f"{c}3")) - 1
-    last = last.select("g1", level.alias("level"), pick("n").alias("inside"), pick("t").alias("final"), F.col("_all"))
+    last = stat.where("t > 0").join(one, "g1").join(two, "g2").join(three, "g3").withColumn("_all", whole)
+    level = F.when(F.col("n1") > F.col("least"), 1).when(F.col("n2") > F.col("least"), 2).when(F.col("n3") > LEAST_OPEN, 3).otherwise(0)
+    pick = lambda c: F.when(level == 1, F.col(f"{c}1")).when(level == 2, F.col(f"{c}2")).otherwise(F.col(f"{c}3")) - 1
+    last = last.select("g", level.alias("level"), pick("n").alias("inside"), pick("t").alias("final"), F.col("_all"))
     low = F.col("final") * F.col("_all.n") <= rare * F.col("inside") * F.col("_all.t")
 
     total = f.groupBy("_s").agg(F.count("*").alias("n_source"))
     spike = f.groupBy("_s", "size").agg(F.count("*").alias("n_size"))
     limits = spike.join(total, spike["_s"].eqNullSafe(total["_s"])).where("n_size >= 5 and n_size >= 0.04 * n_source").select(spike["_s"].alias("ls"), F.col("size").alias("lsize"), F.lit(True).alias("at_limit"))
-    out = f.join(last, "g1").join(limits, F.col("_s").eqNullSafe(F.col("ls")) & (F.col("size") == F.col("lsize")), "left")
+    out = f.join(last, "g").join(limits, F.col("_s").eqNullSafe(F.col("ls")) & (F.col("size") == F.col("lsize")), "left")
     cut = F.when(F.col("level") > 0, low).otherwise(~F.col("ends"))
     return out.select(F.col("_d").alias(doc), F.col("_s").alias(source), cut.alias("cut"), F.coalesce("at_limit", F.lit(False)).alias("at_limit"), "leftover", "inside", "final").distinct()
 
