@@ -34,8 +34,8 @@ COMMON, OPENERS = 40, 40
 LEAST_OPEN, LEAST_INSIDE = 3, 100
 #: What a sentence may end with.
 CLOSERS = (".", "!", "?", "。", "！", "？", '"', "'", ")", "]", "”", "’", "»")
-#: Characters looked at first; what needs more is looked at whole.
-TAIL = 256
+#: Characters looked at first; what may need more is looked at whole.
+TAIL = 96
 #: Class names: a word, one that ends a sentence, one in brackets, a number, one that ends a
 #: sentence. Tokens are lower-cased, so none is a class name.
 WORD, END, BRACKET, NUMBER, LAST_NUMBER = CLASSES = ("W", "E", "B", "N", "M")
@@ -46,14 +46,44 @@ def _let(c: Column, body) -> Column:
     return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
+def _low(x: Column | str) -> Column:
+    """Lower-cased, with blanks for all whitespace but line breaks: split by plain characters from here on."""
+    out = F.lower(x)
+    for c in "\t\r\f\x0b":
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
+
+
 def _tokens(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
+    return F.array_remove(F.split(c, " "), "")
+
+
+def _with_core(x: str, body) -> Column:
+    """``body`` of the core of a text column. Each value is bound once, as functions of arrays
+    evaluate what they are given without sharing its parts."""
+    return _let(_low(x), lambda low: _let(_core(low), body))
+
+
+def _open_tag(x: Column) -> Column:
+    return F.contains(x, F.lit("<")) & ~F.contains(F.substring_index(x, "<", -1), F.lit(">"))
 
 
 def _core(x: Column) -> Column:
-    """The text without what a transfer left behind it."""
-    tail = F.regexp_replace(F.right(x, F.lit(TAIL)), LEFT, "")
-    return _let(tail, lambda t: F.when((t != "") & (F.length(x) > TAIL), F.concat(F.substring(x, F.lit(1), F.length(x) - TAIL), t)).when(F.length(x) <= TAIL, t).otherwise(F.regexp_replace(x, LEFT, "")))
+    """The lower-cased text without what a transfer left behind it.
+
+    Few endings are such that something can be taken off, and of these few take more than the last
+    characters: only a tag has any length, so one that is left open is looked at with the whole text.
+    """
+    maybe = F.contains(F.right(x, F.lit(8)), F.lit("&")) | _open_tag(x)
+    for end in (" ", "\n", "�", "]", "…", ";", ">", "...", "more", "reading"):
+        maybe = maybe | F.endswith(x, F.lit(end))
+    whole = F.regexp_replace(x, LEFT, "")
+
+    def joined(tail: Column) -> Column:
+        return _let(F.concat(F.substring(x, F.lit(1), F.length(x) - TAIL), tail), lambda c: F.when(_open_tag(c), whole).otherwise(c))
+
+    short = lambda t: F.when(F.length(t) > TAIL // 3, joined(t)).otherwise(whole)
+    return F.when(~maybe, x).when(F.length(x) <= TAIL, whole).otherwise(_let(F.regexp_replace(F.right(x, F.lit(TAIL)), LEFT, ""), short))
 
 
 def _line(core: Column) -> Column:
@@ -66,8 +96,8 @@ def _ends(t: Column) -> Column:
 
 
 def _class(t: Column) -> Column:
-    first = F.substring(t, 1, 1)
-    return F.when(first.between("0", "9"), F.when(_ends(t), LAST_NUMBER).otherwise(NUMBER)).when(_ends(t), END).when(first == "(", BRACKET).otherwise(WORD)
+    digit = (t >= "0") & (t < ":")
+    return F.when(_ends(t), F.when(digit, LAST_NUMBER).otherwise(END)).when(digit, NUMBER).when(F.startswith(t, F.lit("(")), BRACKET).otherwise(WORD)
 
 
 def _frequent(base: DataFrame, common: int, openers: int) -> tuple[list[str], list[str]]:
@@ -75,16 +105,16 @@ def _frequent(base: DataFrame, common: int, openers: int) -> tuple[list[str], li
     sentence, of those that neither end a sentence nor begin with a digit: two short lists."""
 
     def marked(x: Column) -> Column:
-        line = _line(x)
-        first = F.when(~F.rlike(line, F.lit(SENTENCE_END)), F.regexp_extract(line, r"\S+", 0))
-        return F.array_append(_tokens(x), F.concat(F.lit(" "), F.coalesce(first, F.lit(""))))
+        first = _let(_line(x), lambda line: F.when(~F.rlike(line, F.lit(SENTENCE_END)), F.get(_tokens(line), F.lit(0))))
+        return F.array_append(_tokens(F.replace(x, F.lit("\n"), F.lit(" "))), F.concat(F.lit(" "), F.coalesce(first, F.lit(""))))
 
     # outer, since the filter that goes with an inner explode would make its array again
-    tokens = base.select(F.explode_outer(_let(_core(F.lower("_x")), marked)).alias("t"))
-    counts = tokens.groupBy("t").count().where(~F.trim("t").rlike(r"^(?:[0-9]|\z)") & ~F.rlike("t", F.lit(SENTENCE_END)))
+    tokens = base.select(F.explode_outer(_with_core("_x", marked)).alias("t"))
+    # an aggregate, so that no filter goes below the count and both lists come from one
+    counts = tokens.groupBy("t").agg(F.count("*").alias("count"), F.max(F.startswith("t", F.lit(" "))).alias("opens"))
+    counts = counts.where("opens is not null").where(~F.trim("t").rlike(r"^(?:[0-9]|\z)") & ~F.rlike("t", F.lit(SENTENCE_END)))
     head = lambda own, most: counts.where(own).orderBy(F.desc("count"), "t").limit(most).select("t")
-    opens = F.startswith("t", F.lit(" "))
-    both = [r["t"] for r in head(~opens, common).unionAll(head(opens, openers)).collect()]
+    both = [r["t"] for r in head(~F.col("opens"), common).unionAll(head(F.col("opens"), openers)).collect()]
     return [t for t in both if t[0] != " "], [t[1:] for t in both if t[0] == " "]
 
 
@@ -100,10 +130,12 @@ def _grams(tokens: Column, common: list[str], openers: list[str], last: bool = F
 
         def gram(x: Column, i: Column, h: Column) -> Column:
             opening = F.when(i == 0, F.concat(h["zero"], x)).when(i == 1, F.concat(h["one"], F.lit("1 "), x)).otherwise(F.concat(h["one"], F.lit("2 "), x))
-            return F.when(i + 1 < h["first"], opening).otherwise(F.concat_ws(" ", F.get(c, i - 2), F.get(c, i - 1), x))
+            blank = F.lit(" ")
+            inside = F.when(i > 1, F.concat(F.get(c, i - 2), blank, F.get(c, i - 1), blank, x)).when(i == 1, F.concat(F.get(c, i - 1), blank, x)).otherwise(x)
+            return F.when(i + 1 < h["first"], opening).otherwise(inside)
 
         if last:
-            return _let(head, lambda h: gram(F.element_at(c, -1), F.size(c) - 1, h))
+            return _let(head, lambda h: gram(F.try_element_at(c, F.lit(-1)), F.size(c) - 1, h))
         return _let(head, lambda h: F.transform(c, lambda x, i: gram(x, i, h)))
 
     return _let(own, line)
@@ -151,17 +183,17 @@ def endings(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: st
         before = F.substring(core, F.lit(1), F.length(core) - F.length(F.substring_index(core, "\n", -1)))
         lines = F.filter(F.transform(F.array_append(F.split(before, "\n"), _line(core)), _tokens), lambda x: F.size(x) > 0)
         every = F.flatten(F.transform(lines, lambda x: _grams(x, *known)))
-        return _let(every, lambda e: F.array_append(e, F.concat(F.lit("$"), F.element_at(e, -1))))
+        return _let(every, lambda e: F.array_append(e, F.concat(F.lit("$"), F.try_element_at(e, F.lit(-1)))))
 
-    grams = base.select(_let(_core(F.lower("_x")), lambda c: F.when(F.rlike(c, F.lit(r"\S")), counted(c))).alias("g")).select(F.explode_outer("g").alias("g")).where("g is not null")
+    grams = base.select(_with_core("_x", lambda c: F.when(F.rlike(c, F.lit(r"\S")), counted(c))).alias("g")).select(F.explode_outer("g").alias("g")).where("g is not null")
     counts = grams.groupBy("g").agg(F.count("*").alias("n"))
     final = F.startswith("g", F.lit("$"))
     own = counts.select(F.when(final, F.substring("g", 2, 1 << 30)).otherwise(F.col("g")).alias("g"), F.when(final, 0).otherwise(F.col("n")).alias("n"), F.when(final, F.col("n")).otherwise(0).alias("t"))
     stat = written(_shorter(own.groupBy("g").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))))
 
-    seen = _let(_core(F.lower("_x")), lambda core: F.when(core != "", F.struct(
+    seen = _with_core("_x", lambda core: F.when(core != "", F.struct(
         _let(_tokens(_line(core)), lambda t: _grams(t, *known, last=True)).alias("g"), F.rlike(_line(core), F.lit(SENTENCE_END)).alias("ends"),
-        (F.length(core) < F.length(F.rtrim(F.replace("_x", F.lit("\n"), F.lit(" "))))).alias("leftover"),
+        F.rlike(F.substring("_x", F.length(core) + 1, F.lit(1 << 30)), F.lit(r"\S")).alias("leftover"),
     )))
     # as it stands, since a filter or a field taken here would compute it again
     f = written(base.select("_d", "_s", F.length("_x").alias("size"), seen.alias("e"))).where("e is not null").select("_d", "_s", "size", "e.*")
