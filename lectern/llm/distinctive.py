@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import folded_words
 from lectern.llm.common import bit_column, has_bit, one_per_key
+from lectern.session import written
 
 BITS = 20
 SALTS = 8
@@ -30,14 +31,6 @@ def _grams(words: Column, lengths: Column) -> Column:
     return F.flatten(F.transform(F.filter(lengths, lambda k: k > 1), runs))
 
 
-def _times(words: Column, term: Column) -> Column:
-    """How often the words of ``term`` follow each other in ``words``; overlapping runs count."""
-    t = F.split(term, " ")
-    k = F.size(t)
-    more = F.when(k == 1, F.filter(words, lambda w: w == term)).otherwise(F.filter(words, lambda w, i: (w == F.get(t, F.lit(0))) & (F.slice(words, i + 1, k) == t)))
-    return F.size(more).cast("long")
-
-
 def distinctive_terms(records: DataFrame, key: str = "chunk_id", text: str = "text", topics: str = "topics", alpha: float = 0.75) -> DataFrame:
     """Every topic of every record, scored by positive pointwise mutual information.
 
@@ -55,26 +48,33 @@ def distinctive_terms(records: DataFrame, key: str = "chunk_id", text: str = "te
     their names. An empty table gives no rows.
 
     Plan: one shuffle of the texts, by key. Words and runs of words are then counted per record
-    within the same partition; a bit filter of the topics, of fixed size, drops most of them
-    before, and counts per term are pre-aggregated before they move. Hot terms are salted.
+    within the same partition and written once, the record's own terms among them; a bit filter of
+    the topics, of fixed size, drops most words before. Counts per term are pre-aggregated before
+    they move, and hot terms are salted.
     """
     src = records.select(F.col(key).alias("_k"), F.col(text).alias("_x"), F.col(topics).alias("_t"))
-    vocabulary = src.select(F.explode(_terms("_t")).alias("t"))
+    # outer throughout, since the filter that goes with an inner explode would make its array again
+    vocabulary = src.select(F.explode_outer(_terms("_t")).alias("t")).where("t is not null")
     filter_ = bit_column(vocabulary, F.xxhash64("t"), BITS)
     lengths = vocabulary.agg(F.coalesce(F.collect_set(F.size(F.split("t", " "))), F.array().cast("array<int>"))).scalar()
 
     recs = one_per_key(src, "_k", ["_x", "_t"]).select("_k", folded_words(F.coalesce("_x", F.lit(""))).alias("w"), "_t")
     recs = recs.withColumn("_bits", filter_).withColumn("_lengths", lengths)
-    grams = F.concat("w", _grams(F.col("w"), F.col("_lengths")))
-    hit = F.filter(grams, lambda g: has_bit(F.col("_bits"), F.xxhash64(g), BITS))
-    units = F.concat(F.array(F.struct(F.lit(ALL).alias("g"), F.size("w").cast("long").alias("c"))), F.transform(hit, lambda g: F.struct(g.alias("g"), F.lit(1).cast("long").alias("c"))))
-    joint = recs.select("_k", F.explode(units).alias("u")).groupBy("_k", F.col("u.g").alias("g")).agg(F.sum("u.c").alias("tf"))
-    stats = joint.groupBy("g").agg(F.count("*").alias("df"), F.sum("tf").alias("total"), F.sum(F.pow("tf", F.lit(alpha))).alias("smooth"))
+
+    def units(w: Column, terms: Column) -> Column:
+        """(g, c, own): the words and runs that may be a term, the terms of the record itself, and
+        the number of words; c is how often."""
+        unit = lambda g, c, own: F.struct(g.alias("g"), c.cast("long").alias("c"), F.lit(own).alias("own"))
+        hit = F.filter(F.concat(w, _grams(w, F.col("_lengths"))), lambda g: has_bit(F.col("_bits"), F.xxhash64(g), BITS))
+        return F.concat(F.array(unit(F.lit(ALL), F.size(w), False)), F.transform(hit, lambda g: unit(g, F.lit(1), False)), F.transform(terms, lambda g: unit(g, F.lit(0), True)))
+
+    rows = recs.select("_k", F.size("w").cast("long").alias("n_words"), F.explode_outer(units(F.col("w"), _terms("_t"))).alias("u"))
+    joint = written(rows.groupBy("_k", F.col("u.g").alias("g")).agg(F.sum("u.c").alias("tf"), F.max("u.own").alias("own"), F.max("n_words").alias("n_words")))
+    stats = joint.where("tf > 0 or g = ''").groupBy("g").agg(F.count("*").alias("df"), F.sum("tf").alias("total"), F.sum(F.pow("tf", F.lit(alpha))).alias("smooth"))
     whole = stats.agg(F.max(F.when(F.col("g") == ALL, F.struct("df", "smooth")))).scalar()
 
     salt = F.pmod(F.xxhash64("_k"), F.lit(SALTS)).cast("int")
-    own = recs.select("_k", F.size("w").cast("long").alias("n_words"), "w", F.explode(_terms("_t")).alias("g"))
-    own = own.select("_k", "n_words", "g", _times(F.col("w"), F.col("g")).alias("tf"), salt.alias("salt"))
+    own = joint.where("own").select("_k", "n_words", "g", "tf", salt.alias("salt"))
     spread = stats.where(F.col("g") != ALL).select("g", "df", "total", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     out = own.join(spread, ["g", "salt"], "left").withColumn("_all", whole)
     there = F.col("tf") > 0
@@ -88,12 +88,13 @@ def distinctive_terms(records: DataFrame, key: str = "chunk_id", text: str = "te
     )
 
 
-def leading_term(scored: DataFrame, key: str = "chunk_id", score: str = "tf_idf", least_terms: int = 3, lead: float = 2.0) -> DataFrame:
-    """The term of each record whose score is above 0 and at least ``lead`` times every other.
+def leading_term(scored: DataFrame, key: str = "chunk_id", least_terms: int = 3, lead: float = 2.0) -> DataFrame:
+    """The term of each record, of those with positive mutual information, whose tf_idf is above 0
+    and at least ``lead`` times that of every other term.
 
     Records with fewer than ``least_terms`` terms have none, nor do ties unless ``lead`` is 1.
     """
-    best = F.max(F.struct(F.col(score).alias("s"), F.col("term").alias("t")))
-    top = scored.groupBy(key).agg(F.count("*").alias("n"), best.alias("b"), F.slice(F.sort_array(F.collect_list(score), False), 2, 1).alias("next"))
-    ok = (F.col("n") >= least_terms) & (F.col("b.s") > 0) & (F.col("b.s") >= lead * F.coalesce(F.get("next", F.lit(0)), F.lit(0.0)))
+    best = F.max(F.struct(F.col("tf_idf").alias("s"), F.col("term").alias("t"), F.col("ppmi")))
+    top = scored.groupBy(key).agg(F.count("*").alias("n"), best.alias("b"), F.slice(F.sort_array(F.collect_list("tf_idf"), False), 2, 1).alias("next"))
+    ok = (F.col("n") >= least_terms) & (F.col("b.ppmi") > 0) & (F.col("b.s") > 0) & (F.col("b.s") >= lead * F.coalesce(F.get("next", F.lit(0)), F.lit(0.0)))
     return top.where(ok).select(key, F.col("b.t").alias("term"))
