@@ -37,7 +37,8 @@ TILE = 1 << 22
 class Effort:
     """k neighbours per vector; ``trees`` times ``split`` cells each, of about per_cell / split
     vectors' first choices; up to k + ``reverse`` vectors meet in a local join; ``rounds`` of them.
-    ``trees`` is for up to ``base`` vectors, and one more for every fourfold of that."""
+    ``trees`` is for up to ``base`` vectors, and one more for every fourfold of that. Pairs less
+    similar than ``least`` are no neighbours."""
 
     k: int = 8
     split: int = 3
@@ -46,14 +47,15 @@ class Effort:
     reverse: int = 8
     rounds: int = 1
     base: int = 15_000
+    least: float = -2.0
 
     def at(self, n: int) -> Effort:
         """The effort for n vectors, with as good a chance that a close pair has a common cell."""
         return replace(self, trees=self.trees + max(0, int(np.ceil(np.log(max(n, 1) / self.base) / np.log(4) - 1e-9))))
 
 
-#: Enough to find vectors that resemble each other closely.
-CLOSE = Effort()
+#: Enough to find vectors that resemble each other closely; those that don't hardly lead to them.
+CLOSE = Effort(least=0.5)
 #: For the nearest of any vector, however far they are.
 FULL = Effort(16, 3, 3, 300, 16, 2)
 EDGE = "id long, nbr long, sim float"
@@ -190,7 +192,7 @@ def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return r[ok], c[ok]
 
 
-def cell_edges(cells: DataFrame, dim: int, k: int) -> DataFrame:
+def cell_edges(cells: DataFrame, dim: int, k: int, least: float = -2.0) -> DataFrame:
     """The k most similar of each vector within its cell: every row of a cell is compared with
     every other, or every row of one block with every row of the other."""
 
@@ -210,6 +212,8 @@ def cell_edges(cells: DataFrame, dim: int, k: int) -> DataFrame:
                         if a == u:
                             sim[np.arange(end - s), np.arange(s - u, end - u)] = -np.inf
                         r, c = _best(sim, k)
+                        near = sim[r, c] >= least
+                        r, c = r[near], c[near]
                         out.append((ids[s:end][r], ids[u:v][c], sim[r, c]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], ["id", "nbr", "sim"])
@@ -245,11 +249,11 @@ def descend(graph: DataFrame, nodes: DataFrame, dim: int, e: Effort) -> DataFram
     Of the reverse neighbours of a vector the ``reverse`` most similar take part, as NN-descent
     samples them: the neighbours of a hub are many, and each has lists of its own to be found by.
     """
-    worst = graph.groupBy("id").agg(F.when(F.count("*") >= e.k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("low"))
+    worst = graph.groupBy("id").agg(F.when(F.count("*") >= e.k, F.min("sim")).otherwise(F.lit(e.least)).cast("float").alias("low"))
     rank = F.row_number().over(Window.partitionBy("nbr").orderBy(F.desc("sim"), "id"))
     back = graph.withColumn("r", rank).where(F.col("r") <= e.reverse).select(F.col("nbr").alias("u"), F.col("id").alias("w"))
     member = graph.select(F.col("id").alias("u"), F.col("nbr").alias("w")).union(back).distinct()
-    full = nodes.join(worst, "id", "left").select(F.col("id").alias("w"), "q", F.coalesce("low", F.lit(-2.0)).cast("float").alias("low"))
+    full = nodes.join(worst, "id", "left").select(F.col("id").alias("w"), "q", F.coalesce("low", F.lit(e.least)).cast("float").alias("low"))
     met = member.join(full, "w").select("u", "w", "low", "q")
     wide = e.k + e.reverse
 
@@ -279,7 +283,7 @@ def neighbour_graph(nodes: DataFrame, dim: int, e: Effort = CLOSE) -> DataFrame:
     n = nodes.count()
     e = e.at(n)
     side = max(2, int(np.ceil(np.sqrt(n * e.split / e.per_cell))))
-    graph = written(best_k(cell_edges(cell_rows(nodes, dim, side, e), dim, e.k), e.k))
+    graph = written(best_k(cell_edges(cell_rows(nodes, dim, side, e), dim, e.k, e.least), e.k))
     for _ in range(e.rounds):
         graph = written(best_k(graph.union(descend(graph, nodes, dim, e)), e.k))
     return graph
@@ -323,7 +327,7 @@ def to_keys(edges: DataFrame, vectors: DataFrame, sim: str, k: int) -> DataFrame
     return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("key", "other", sim, "rank")
 
 
-def nearest(records: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 64, effort: Effort = CLOSE) -> tuple[DataFrame, DataFrame]:
+def nearest(records: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 64, effort: Effort = FULL) -> tuple[DataFrame, DataFrame]:
     """The vectors (key, vid, q, unit) of the usable records and their graph (id, nbr, sim).
 
     Null vectors, all-zero ones and such of another length than ``dim`` are not usable; null, NaN
@@ -348,7 +352,7 @@ def close_pairs(records: DataFrame, key: str = "chunk_id", vector: str = "embedd
     The graph gives the candidates; cosines and ranks of all that may reach ``least`` come from
     the full vectors.
     """
-    vectors, graph = nearest(records, key, vector, dim)
+    vectors, graph = nearest(records, key, vector, dim, CLOSE)
     likely = written(graph.where(F.col("sim") >= least - 0.02).select("id", "nbr"))
     near = to_keys(exact(likely, vectors, dim), vectors, "cos", k).where(F.col("cos") >= least)
     return near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
