@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from lectern.llm.bags import Bags, SeenBags, U, WordHashes, as_batches, bags, folded, minima, mix, signed
 from lectern.llm.common import bit_array, bit_test
 from lectern.llm.nearcopies import LEAST_WORDS, members, verified
+from lectern.operators.snapshots import Snapshots, with_folders
 from lectern.session import written
 
 CLASSES = 32
@@ -175,37 +176,65 @@ def _judged(new: DataFrame, old: DataFrame, keys: DataFrame, pairs: DataFrame, o
 class PivotTable:
     """The held records at ``path``, for batches that come one at a time.
 
-    rows has the pivot rows, written in ranges of their key so that a batch reads the files its
-    keys can lie in; bags the held bags with their units; keys the held keys. A batch reads its
-    own texts, the pivot rows and the bags of its candidates, never the texts of the history.
+    rows has the pivot rows, bags the held bags with their units, keys the held keys; each is kept
+    in ``buckets`` folders by hash. A batch reads its own texts and, of the three, only the folders
+    that its keys, its candidates' bags and its record keys lie in; it never reads the texts of the
+    history. What a batch is told and what it adds appear in one version or not at all, so a batch
+    that is repeated after a failure, by its ``name``, gets the same answer and adds nothing twice.
     """
 
-    def __init__(self, spark, path: str, key: str = "chunk_id", title: str = "title", text: str = "text", least: float = 0.8, least_words: int = LEAST_WORDS, parts: int = 16):
-        self.spark, self.path, self.parts = spark, path, parts
+    def __init__(self, spark, path: str, key: str = "chunk_id", title: str = "title", text: str = "text", least: float = 0.8, least_words: int = LEAST_WORDS, buckets: int = 64):
+        self.spark, self.at, self.buckets = spark, Snapshots(spark, path), buckets
         self.key, self.title, self.text, self.least, self.least_words = key, title, text, least, least_words
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    def _in(self, value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(self.buckets)).cast("int")
 
-    def append(self, records: DataFrame) -> None:
-        """Holds records from now on; nothing is checked, and rows of equal bags do no harm."""
-        rows = pivot_rows(records, self.title, self.text, self.least, self.least_words, probe=False)
-        rows.repartitionByRange(self.parts, "k").sortWithinPartitions("k").write.mode("append").parquet(f"{self.path}/rows")
+    def _read(self, state: dict, table: str, values: DataFrame) -> DataFrame:
+        """The rows of the folders in which the values of a one-column table lie."""
+        own = [r.b for r in values.select(self._in(F.col(values.columns[0])).alias("b")).distinct().collect()]
+        return self.at.read(state, table, own)
+
+    def _with(self, state: dict, records: DataFrame) -> dict:
         every = np.full(1 << (BAG_BITS - 6), ~U(0), U)
         # a null key is no key, but its bag is held
         named = records.select(F.coalesce(F.col(self.key), F.lit("")).alias("_id"), F.col(self.title).alias("_t"), F.col(self.text).alias("_x"))
-        members(named, "_id", "_t", "_x", every, self.least_words).where("units is not null").select("bag", "units").write.mode("append").parquet(f"{self.path}/bags")
-        records.select(F.col(self.key).alias("cid")).where("cid is not null").distinct().write.mode("append").parquet(f"{self.path}/keys")
+        for table, rows, by in (
+            ("rows", pivot_rows(records, self.title, self.text, self.least, self.least_words, probe=False), "k"),
+            ("bags", members(named, "_id", "_t", "_x", every, self.least_words).where("units is not null").select("bag", "units"), "bag"),
+            ("keys", records.select(F.col(self.key).alias("cid")).where("cid is not null").distinct(), "cid"),
+        ):
+            state = with_folders(state, table, rows, self.buckets, self.at.write(rows, F.xxhash64(by), self.buckets))
+        return state
 
-    def admit(self, batch: DataFrame, order: tuple[str, str] = ("batch_id", "row_id")) -> DataFrame:
-        """The ``order`` columns of the refused rows; the others are held when this returns."""
+    def append(self, records: DataFrame) -> None:
+        """Holds records from now on; nothing is checked, and rows of equal bags do no harm."""
+        base = self.at.version()
+        self.at.commit(base, self._with(self.at.state(base), records))
+
+    def admit(self, batch: DataFrame, order: tuple[str, str] = ("batch_id", "row_id"), name: str | None = None) -> DataFrame:
+        """The ``order`` columns of the refused rows; the others are held when this returns.
+
+        A table must hold something, be it an empty one, before the first batch comes. Conflict is
+        raised, and nothing is held, if another batch was admitted meanwhile.
+        """
+        base = self.at.version()
+        state = self.at.state(base)
+        if name is not None and name in state.get("refused", {"folders": {}})["folders"]:
+            return self.at.read({"refused": {**state["refused"], "folders": {name: state["refused"]["folders"][name]}}}, "refused")
         probes = written(pivot_rows(batch, self.title, self.text, self.least, self.least_words, probe=True))
         own = pivot_rows(batch, self.title, self.text, self.least, self.least_words, probe=False)
-        pairs = written(candidates(self._read("rows").unionByName(own), probes, self.least))
+        pairs = written(candidates(self._read(state, "rows", probes.select("k")).unionByName(own), probes, self.least))
         ends = pairs.select("a").union(pairs.select(F.col("b").alias("a")))
         new = written(members(_row(batch, self.key, self.title, self.text, order), "_id", "_t", "_x", bit_array(ends, F.col("a"), BAG_BITS), self.least_words, every=True))
-        near = ends.union(new.select("bag")).distinct().withColumnRenamed("a", "bag")
-        old = written(self._read("bags").join(near, "bag", "left_semi"))
-        refused = written(_judged(new, old, self._read("keys"), pairs, order, self.least))
-        self.append(batch.join(refused.select(*order), [*order], "left_anti"))
+        near = written(ends.union(new.where("bag is not null").select("bag")).distinct().withColumnRenamed("a", "bag"))
+        old = written(self._read(state, "bags", near).join(near, "bag", "left_semi"))
+        keys = self._read(state, "keys", batch.select(self.key).where(F.col(self.key).isNotNull()))
+        refused = written(_judged(new, old, keys, pairs, order, self.least))
+        same = [F.col(f"b.{c}").eqNullSafe(F.col(f"r.{c}")) for c in order]
+        state = self._with(state, batch.alias("b").join(refused.alias("r"), same, "left_anti"))
+        if name is not None:
+            folder = self.at.write(refused, F.lit(0), 1)
+            state = with_folders(state, "refused", refused, 1, {name: f for f in folder.values()})
+        self.at.commit(base, state)
         return refused

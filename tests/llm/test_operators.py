@@ -167,7 +167,7 @@ def test_history_rows_without_key_are_held(spark, tmp_path):
     h = make(spark, [(*r, None, None, None) for r in history])
     b = spark.createDataFrame(batch, "batch_id long, row_id long, chunk_id string, title string, text string")
     assert rows_of(repeats(h, b)) == brute_repeats(history, batch) == {(0, 0), (0, 1)}
-    table = PivotTable(spark, str(tmp_path / "held"), parts=2)
+    table = PivotTable(spark, str(tmp_path / "held"), buckets=4)
     table.append(h)
     assert rows_of(table.admit(b)) == {(0, 0), (0, 1)}
 
@@ -178,12 +178,19 @@ def test_pivot_table_batch_by_batch(spark, tmp_path):
     every = [r for r in corpus(11, 30) if r[0]]
     random.Random(3).shuffle(every)
     batch = [(i // 15, i, *r) for i, r in enumerate(every[20:])]
-    table = PivotTable(spark, str(tmp_path / "held"), parts=2)
+    table = PivotTable(spark, str(tmp_path / "held"), buckets=4)
     table.append(make(spark, [(a, b, c, None, None, None) for a, b, c in every[:20]]))
     got = set()
     for n in sorted({b[0] for b in batch}):
         got |= rows_of(table.admit(spark.createDataFrame([b for b in batch if b[0] == n], "batch_id long, row_id long, chunk_id string, title string, text string")))
     assert got == brute_repeats(every[:20], batch)
+    # a batch that comes again by its name gets its answer again and adds nothing
+    more = [(9, 900 + i, f"m{i}", "t", text(random.Random(i), 40)) for i in range(3)] + [(9, 910, None, *every[0][1:]), (9, None, "m0", "t", "x")]
+    df = spark.createDataFrame(more, "batch_id long, row_id long, chunk_id string, title string, text string")
+    first = rows_of(table.admit(df, name="nine"))
+    version = table.at.version()
+    assert rows_of(table.admit(df, name="nine")) == first and table.at.version() == version
+    assert (9, 910) in first
 
 
 # -- 3 -----------------------------------------------------------------------------------
