@@ -9,6 +9,10 @@ from lectern.functions.text import col
 from lectern.functions.vocabulary import MONTHS, SERVICE_WEEKDAYS, WEEKDAYS
 
 
+#: What stands for a date that can't be read. Fixed value.
+UNKNOWN = "Unknown Date"
+
+
 def _choice(c: Column, of: dict[str, int]) -> Column:
     out = F.lit(None).cast("int")
     for name, n in of.items():
@@ -113,7 +117,7 @@ def normalise_date(c: Column | str) -> Column:
     num, name = r"^(\d{1,2})/(\d{1,2})/(\d{4})$", r"(?i)^([a-z]+)\s+(\d{1,2}),?\s+(\d{4})$"
     p = lambda r, i: F.regexp_extract(s, r, i)
     d = F.coalesce(ymd(p(num, 3), p(num, 1), p(num, 2)), ymd(p(num, 3), p(num, 2), p(num, 1)), ymd(p(name, 3), _choice(F.lower(p(name, 1)), MONTHS), p(name, 2)))
-    return F.coalesce(F.date_format(d, "yyyy-MM-dd"), F.lit("Unknown Date"))
+    return F.coalesce(F.date_format(d, "yyyy-MM-dd"), F.lit(UNKNOWN))
 
 
 def derived_dates(c: Column | str) -> list[Column]:

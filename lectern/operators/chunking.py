@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lectern.functions import patterns
 from lectern.functions.text import space_words
 
 #: Words per chunk, overlap, shortest paragraph, scripture context and shortest chunk. Fixed values.
 TARGET, OVERLAP, SHORT, AROUND, TINY = 400, 75, 5, 50, 20
-TAG = r"(?s)^\[([^\]]+\d+:\d+[^\]]*)\](.*)"
 ORPHAN = r"^\[[^\]]*\d+:\d+[^\]]*\]$"
-VIDEO_START, VIDEO_END = r"(?i)^<vide?o?\s*\d+\s*start>", r"(?i)^<vide?o?\s*\d+\s*end>"
 
 
 def words_in(c: Column) -> Column:
@@ -62,8 +61,8 @@ def collapse_videos(b: Column) -> Column:
         empty = F.array().cast("array<string>")
         closed = F.when(F.size(a["held"]) > 0, F.concat(a["done"], F.array(item("video", a["n"] + 1, F.array_join(a["held"], " "))))).otherwise(a["done"])
         return (
-            F.when(F.rlike(x, F.lit(VIDEO_START)), state(a["done"], F.lit(True), empty, a["n"]))
-            .when(F.rlike(x, F.lit(VIDEO_END)), state(F.when(a["open"], closed).otherwise(a["done"]), F.lit(False), empty, a["n"] + 1))
+            F.when(F.rlike(x, F.lit(patterns.VIDEO_START)), state(a["done"], F.lit(True), empty, a["n"]))
+            .when(F.rlike(x, F.lit(patterns.VIDEO_END)), state(F.when(a["open"], closed).otherwise(a["done"]), F.lit(False), empty, a["n"] + 1))
             .when(a["open"], state(a["done"], F.lit(True), F.concat(a["held"], F.array(x)), a["n"]))
             .otherwise(state(F.concat(a["done"], F.array(item("block", none, x))), F.lit(False), empty, a["n"]))
         )
@@ -75,9 +74,9 @@ def typed(items: Column) -> Column:
     """Blocks as paragraphs: scripture where a reference tag leads, otherwise sermon."""
 
     def one(x: Column) -> Column:
-        ref = F.regexp_extract(x["text"], TAG, 1)
+        ref = F.regexp_extract(x["text"], patterns.REFERENCE_TAG, 1)
         is_ref = (x["type"] == "block") & (ref != "")
-        body = F.regexp_replace(F.regexp_extract(x["text"], TAG, 2), r"^\s+|\s+$", "")
+        body = F.regexp_replace(F.regexp_extract(x["text"], patterns.REFERENCE_TAG, 2), r"^\s+|\s+$", "")
         return F.struct(F.when(x["type"] == "video", "video").when(is_ref, "scripture").otherwise("sermon").alias("type"), F.when(is_ref, F.trim(ref)).alias("ref"), x["video_index"].alias("video_index"), F.when(is_ref, F.trim(F.concat(F.lit("["), F.trim(ref), F.lit("] "), body))).otherwise(x["text"]).alias("text"))
 
     return F.transform(items, one)
@@ -121,7 +120,7 @@ def packed_rows(docs: DataFrame, key: str, texts: str) -> DataFrame:
     The overlap is the last OVERLAP words of the previous chunk's last paragraph, or all of it as
     it stands when shorter; a dropped chunk's overlap is still carried on.
     """
-    rows = docs.select(key, F.posexplode(pack(F.col(texts))).alias("k", "ps"))
+    rows = docs.select(key, F.posexplode_outer(pack(F.col(texts))).alias("k", "ps")).where("k is not null")
     last = F.lag(F.element_at("ps", -1)).over(Window.partitionBy(key).orderBy("k"))
     ws = space_words(F.col("_last"))
     tail = F.when(F.size(ws) <= OVERLAP, F.col("_last")).otherwise(F.array_join(F.slice(ws, F.greatest(F.size(ws) - OVERLAP + 1, F.lit(1)), OVERLAP), " "))

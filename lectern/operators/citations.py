@@ -11,6 +11,8 @@ from lectern.functions.text import col, preview
 MARK = r"\[(\d+)\]"
 #: Least score of a supporting chunk, and the length below which a claim isn't checked. Fixed values.
 SUPPORT, LEAST_CLAIM = -0.5, 20
+#: Turns of a conversation that count. Fixed value.
+LAST_TURNS = 6
 SENTENCE = r"[^.!?\n]+[.!?\n]+\s*|[^.!?\n]+\z"
 
 
@@ -78,7 +80,7 @@ def source_cards(df: DataFrame) -> DataFrame:
     return df.select("date", "title", "chunk_type", "score", preview("text").alias("preview"), F.array_join("topics", ", ").alias("topics"), F.col("section_type").alias("section"))
 
 
-def history_window(turns: DataFrame, last: int = 6) -> DataFrame:
+def history_window(turns: DataFrame, last: int = LAST_TURNS) -> DataFrame:
     """The last turns of each conversation; a turn delivered twice counts once."""
     t = turns.select("conv_id", "turn", "role", "text").distinct()
     r = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc_nulls_last("text"), F.desc_nulls_last("role")))

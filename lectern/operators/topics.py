@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column
@@ -17,6 +18,8 @@ from lectern.functions.text import col
 
 STOP = frozenset("a an and are as at be because been but by can could did do does for from had has have he her his how i if in into is it its me more my no not of on or our out she so some that the their them then there these they this those through to up us was we were what when which while who whose will with without would you your".split())
 LEAST_WORDS = 20
+#: Terms of a chunk, and of a scripture or video chunk. Fixed values.
+MANY, FEW = 5, 3
 
 
 def levenshtein_ratio(a: str, b: str) -> float:
@@ -79,13 +82,15 @@ def keywords(text: str | None, n: int = 5, same: float = 0.7) -> list[str]:
     return out
 
 
-def topics(c: Column | str, n: int = 5) -> Column:
+def topics(c: Column | str, n: Column | int = MANY) -> Column:
+    """The ``n`` most telling terms of each text."""
+
     @F.pandas_udf(ArrayType(StringType()))
-    def extract(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda t: keywords(t, n))
+    def extract(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, most in parts:
+            yield pd.Series([keywords(t, int(m)) for t, m in zip(texts, most)], dtype=object)
 
-    return extract(col(c))
+    return extract(col(c), F.lit(n) if isinstance(n, int) else n)
 
 
 def hash_embedding(text: str | None, dim: int = 64) -> list[float]:
@@ -98,13 +103,15 @@ def hash_embedding(text: str | None, dim: int = 64) -> list[float]:
     return [x / n for x in v] if n else v
 
 
-def embed(c: Column | str, load: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None) -> Column:
-    """Embeddings of a text column; ``load`` makes the model, once per worker."""
+def embed(c: Column | str, load: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, prefix: str = "") -> Column:
+    """Unit embeddings of a text column; ``load`` makes the model, once per worker. ``prefix`` goes
+    before every text, as models want that tell questions from passages."""
 
     @F.pandas_udf(ArrayType(FloatType()))
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load() if load else lambda ts: [hash_embedding(t) for t in ts]
         for s in parts:
-            yield pd.Series(model(s.fillna("").tolist()))
+            v = np.array(model([prefix + t for t in s.fillna("")]), dtype=float).reshape(len(s), -1)
+            yield pd.Series(list(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)))
 
     return run(col(c))

@@ -40,12 +40,14 @@ class Plan:
     fallbacks: list[dict | None] = field(default_factory=list)
     listing: bool = False
     recency_weight: float = 0.0
+    #: The day or span in words, searched for along with the question.
+    hint: str | None = None
 
 
 DAYS = "monday|tuesday|wednesday|thursday|friday|saturday|sunday"
 
 
-def rewrite(message: str) -> Rewrite:
+def rewrite(message: str, history: list[str] | None = None) -> Rewrite:
     """A rewrite by rules: dates, weekdays, years and the wish for a list, as the words say it."""
     low = message.lower()
     out = Rewrite(message.strip())
@@ -81,8 +83,11 @@ def source_kind(message: str, history: list[str] | None = None) -> str | None:
 def _resolved(spark: SparkSession, as_of: dt.date, r: Rewrite) -> tuple:
     """The phrase's day, its range and the last service, by the same columns as in batch."""
     day = F.lit(as_of.isoformat()).cast("date")
-    row = spark.range(1).select(dates.resolve_date(F.lit(r.date_expression).cast("string"), day).alias("d"), dates.resolve_range(F.lit(r.date_range).cast("string"), day).alias("r"), dates.service_date(day).alias("s")).first()
-    return row.d, row.r, row.s
+    span = dates.resolve_range(F.lit(r.date_range).cast("string"), day)
+    one = dates.resolve_date(F.lit(r.date_expression).cast("string"), day)
+    hints = F.coalesce(dates.range_hint(span["first"], span["last"]), dates.date_hint(one))
+    row = spark.range(1).select(dates.resolve_date(F.lit(r.date_expression).cast("string"), day).alias("d"), dates.resolve_range(F.lit(r.date_range).cast("string"), day).alias("r"), dates.service_date(day).alias("s"), hints.alias("h")).first()
+    return row.d, row.r, row.s, row.h
 
 
 def number(d: dt.date) -> int:
@@ -100,7 +105,7 @@ def plan(spark: SparkSession, r: Rewrite, as_of: dt.date, kind: str | None = Non
     if day_name and kind is None:
         kind = "sermon"
     base = filters.merge_filters(filters.source_filter(kind), filters.weekday_filter(day_name))
-    day, span, service = _resolved(spark, as_of, r)
+    day, span, service, hint = _resolved(spark, as_of, r)
     within = filters.range_filter(number(span["first"]), number(span["last"])) if span else None
     weight = 0.4 if r.recency else 0.2 if r.date_range else 0.0
     both = lambda *f: filters.merge_filters(base, *f)
@@ -117,9 +122,9 @@ def plan(spark: SparkSession, r: Rewrite, as_of: dt.date, kind: str | None = Non
     if r.year:
         return Plan(N_BROAD, both(filters.year_filter(r.year)), [], False, weight)
     if within:
-        return Plan(N_BROAD, both(within), [both()], False, weight)
+        return Plan(N_BROAD, both(within), [both()], False, weight, hint)
     if day is not None:
-        return Plan(N, both(filters.day_filter(number(day))), [both()], False, weight)
+        return Plan(N, both(filters.day_filter(number(day))), [both()], False, weight, hint)
     return Plan(N, base, [], False, weight)
 
 

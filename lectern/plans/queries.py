@@ -52,14 +52,13 @@ def bm25_stats(spark, sf):
 
 @query
 def bm25_topk(spark, sf):
-    return bm25.top_k(bm25.score(_index(spark, sf), t(spark, sf, "queries")), K).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
+    return bm25.search(_index(spark, sf), t(spark, sf, "queries"), K).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
 
 
 @query
 def bm25_filtered(spark, sf):
-    scored = bm25.score(_index(spark, sf), t(spark, sf, "queries"))
     keep = filters.apply_filter(chunks(spark, sf, "chunk_type", "year"), filters.merge_filters(filters.source_filter("sermon"), {"year": {"$gte": 2018}}))
-    return bm25.top_k(scored.join(keep.select(F.col("chunk_id").alias("id")), "id", "left_semi"), K).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
+    return bm25.search(_index(spark, sf), t(spark, sf, "queries"), K, keep.select(F.col("chunk_id").alias("id"))).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
 
 
 # -- vectors ----------------------------------------------------------------------------
@@ -136,7 +135,7 @@ def _arms(spark, sf):
     qs = t(spark, sf, "queries").select("query_id", "text")
     vectors = t(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding").join(qs.select("query_id").distinct(), "query_id", "left_semi")
     sem = knn.knn(vectors, chunks(spark, sf, "embedding").withColumnRenamed("chunk_id", "id"), 28).select("query_id", "id", F.lit("semantic").alias("arm"), "rank", F.round("cosine", 3).alias("score"))
-    lex = bm25.top_k(bm25.score(_index(spark, sf), qs), 28).select("query_id", "id", F.lit("lexical").alias("arm"), "rank", "score")
+    lex = bm25.search(_index(spark, sf), qs, 28).select("query_id", "id", F.lit("lexical").alias("arm"), "rank", "score")
     from pyspark.sql import Window
 
     look = scripture_lookup(spark, sf)

@@ -8,9 +8,8 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 PARAS = "array<struct<idx:int,text:string,is_bold:boolean,has_image:boolean>>"
@@ -34,14 +33,28 @@ def paragraphs(content: bytes) -> list[dict]:
     return out
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, paras, error) of all .docx files under a path; .doc files and broken ones
-    have an error instead of paragraphs. Of files with one stem the .docx is taken."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.rlike(F.lower("path"), F.lit(r"\.docx?$")))
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    stem = F.regexp_replace(name, r"(?i)\.docx?$", "")
-    r = F.row_number().over(Window.partitionBy("stem").orderBy(F.desc(F.lower("source_file"))))
-    files = files.select(name.alias("source_file"), stem.alias("stem"), "content")
+def stem_of(name: str) -> Column:
+    return F.regexp_replace(name, r"\.[^.]*$", "")
+
+
+def word_files(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, stem) of the .docx and .doc files under a path, by their names alone; of files
+    with one stem the .docx is taken."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").where(F.rlike(F.lower("path"), F.lit(r"\.docx?$")))
+    names = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"))
+    best = names.groupBy(stem_of("source_file").alias("stem")).agg(F.max_by("source_file", F.lower("source_file")).alias("source_file"))
+    return best.select("source_file", "stem")
+
+
+def read_docx(spark: SparkSession, path: str, names: DataFrame | None = None) -> DataFrame:
+    """(source_file, paras, error) of the Word files under a path, or of those with these names
+    (source_file); .doc files and broken ones have an error instead of paragraphs.
+
+    The names are chosen first, from a scan without contents.
+    """
+    chosen = (word_files(spark, path) if names is None else names).select("source_file").distinct()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"), "content").join(chosen, "source_file", "left_semi")
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -55,4 +68,4 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((f, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["source_file", "paras", "error"])
 
-    return files.withColumn("r", r).where("r = 1").select("source_file", "content").mapInPandas(parse, f"source_file string, paras {PARAS}, error string")
+    return files.mapInPandas(parse, f"source_file string, paras {PARAS}, error string")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators import store
+from lectern.operators.snapshots import BucketedTable
 from lectern.plans.api import Engine
+from lectern.session import written
 
 
 def watch(engine: Engine, folder: str, checkpoint: str, doc_type: str = "sermon", available_now: bool = True) -> StreamingQuery:
@@ -28,15 +30,17 @@ def watch(engine: Engine, folder: str, checkpoint: str, doc_type: str = "sermon"
 
 
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "chunk_id", order: str = "arrived_at") -> StreamingQuery:
-    """A stream of chunk rows into a table at ``path``, the latest row of a key counting."""
-    from lectern.session import written
+    """A stream of chunk rows into a table at ``path``, the latest row of a key counting.
+
+    Each micro-batch writes only the folders of its keys and appears as one version, so one that
+    is repeated after a failure gives the same table.
+    """
+    table = BucketedTable(stream.sparkSession, path, key)
 
     def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
         new = store.latest(batch.where(F.col(key).isNotNull()), key, order)
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            new = store.upsert(spark.read.parquet(path), new, key)
-        written(new).write.mode("overwrite").parquet(path)
+        new = written(new)
+        if not new.isEmpty():
+            table.change(new, lambda old, rows: store.upsert(old, rows, key))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

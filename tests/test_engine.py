@@ -46,6 +46,12 @@ def test_chat(engine):
     assert said["sources"] and {s["date"] for s in said["sources"]} == {"2025-04-13"}
     listed = engine.chat("which sermons in 2024", as_of=dt.date(2025, 4, 17))
     assert {s["date"] for s in listed["sources"]} == {"2024-06-02"}
+    assert listed["notice"] is None
+    asked = []
+    engine.answerer, answer = lambda q, c, h: asked.append((q, c, h)) or "", engine.answerer
+    engine.chat("sermon on harvest", [f"turn {i}" for i in range(9)], dt.date(2025, 4, 17))
+    engine.answerer = answer
+    assert asked[0][2] == [f"turn {i}" for i in range(3, 9)]
     assert "2019" in engine.chat("sermon in 2019", as_of=dt.date(2025, 4, 17))["answer"]
 
 
@@ -76,7 +82,7 @@ def test_word_files(spark, tmp_path):
     from lectern.operators.cleaning import clean_lessons, clean_transcripts
     from lectern.sources.docx import read_docx
 
-    lesson = [("The Title", True), ("John 14:9", True), ("Whoever has seen me.", False), ("1. Opening", True), ("This is the first body text.", False), ("Show commentary here", False), ("John Gill", False), ("(Mark 1:2) As it is written", False), ("* A plain closing line of text", False), ("Compiled by Some One", False), ("https://example.org", False)]
+    lesson = [("A title", True), ("John 14:9", True), ("Whoever has seen me.", False), ("1. Opening", True), ("This is the first body text.", False), ("Show commentary here", False), ("John Gill", False), ("(Mark 1:2) As it is written", False), ("* A plain closing line of text", False), ("Compiled by Some One", False), ("https://example.org", False)]
     (tmp_path / "20200210_23-1_The_Lamb_s_Way__P_Name.docx").write_bytes(docx(lesson))
     (tmp_path / "other.docx").write_bytes(b"broken")
     (tmp_path / "old.doc").write_bytes(b"legacy")
@@ -89,7 +95,65 @@ def test_word_files(spark, tmp_path):
     (tmp_path / "s.docx").write_bytes(docx(paras))
     out = clean_transcripts(read_docx(spark, str(tmp_path / "s.docx"))).first()
     assert (out.date, out.title) == ("2025-04-13", "The Narrow Road")
-    assert out.text.endswith("\n\nHe said [John 3:16] is true .")
+    assert out.text == "DATE: 2025-04-13\nTITLE: The Narrow Road\n\nMain Text: John 3\n\nHe said [John 3:16] is true ."
+
+
+def test_lesson_grammar():
+    from lectern.operators.cleaning import lesson_blocks
+
+    rows = [("John Gill", True), ("the first bold line", True), ("1 Kings 17:1-7.", True), ("1 Kings 17:1-7", True), ("He went.", False), ("", False), ("And stayed.", False), ("2. He fled", True), ("", False), ("Introduction", True), ("Body of it.", False), ("1) He rose", True), ("(Mark 1:2)", False), ("As it is", False), ("two words", False), ("C. Last one.", True), ("Translated by A", False), ("", False), ("13 | 10 Page foot", False)]
+    got = lesson_blocks([{"text": t, "is_bold": b, "has_image": False} for t, b in rows])
+    # a name is a credit even where it is bold; a label stands alone before another bold line
+    assert got == ["[1 Kings 17:1-7]", "[1 Kings 17:1-7] He went. And stayed.", "[2. He fled]", "[Introduction] Body of it.", "1) He rose", "[Mark 1:2] As it is two words", "[C. Last one]"]
+    assert lesson_blocks([]) == []
+
+
+def test_noise_lines(spark):
+    from lectern.functions.text import clean_noise
+
+    cases = {"<John 3:16> “ Well ” 말씀 {note} ok": "[John 3:16] Well ok", "it's 'so' .": "it's so .", "end . . . more": "end. more", "a , ; b": "a b", "【x】 \"\" y": "x y", "Done. .,": "Done.", "": ""}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.c for r in df.select("t", clean_noise("t").alias("c")).collect()} == cases
+
+
+def test_word_files_become_chunks(spark, tmp_path):
+    from lectern.plans.api import Engine
+
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    text = " ".join(["The narrow road is long and many walk it with joy."] * 6)
+    (folder / "one.docx").write_bytes(docx([("Sunday Message April 13th, 2025", False), ("The Narrow Road", False), ("Main Text", False), (text, False)]))
+    (folder / "bad.docx").write_bytes(b"broken")
+    e = Engine(spark, str(tmp_path / "store"))
+    assert e.run_incremental(str(folder)) == 1
+    assert [(r.source_file) for r in e.failed.collect()] == ["bad.docx"]
+    assert {(r.source_file, r.date, r.title) for r in e.chunks().collect()} == {("one_pure.txt", "2025-04-13", "The Narrow Road")}
+    (folder / "two.docx").write_bytes(docx([("Sunday Message April 20th, 2025", False), ("Another Road", False), ("Main Text", False), (text, False)]))
+    assert e.run_incremental(str(folder)) == 1 and e.stats()["files"] == 2
+    ids = [r.chunk_id for r in e.chunks().where("title = 'Another Road'").collect()]
+    assert {r.title for r in e.get(ids).collect()} == {"Another Road"} and e.get(ids, {"year": 1999}).count() == 0
+
+
+def test_versions(spark, tmp_path):
+    from lectern.operators.snapshots import BucketedTable, Conflict
+    from lectern.operators.store import upsert
+
+    t = BucketedTable(spark, str(tmp_path / "t"), "k", 4)
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    up = lambda old, new: upsert(old, new, "k")
+    t.change(rows(*((f"k{i}", i) for i in range(20))), up)
+    before, state = t.at.version(), t.at.state()
+    t.change(rows(("k3", 33), ("new", 1)), up)
+    got = {r.k: r.v for r in t.read().collect()}
+    assert got == {**{f"k{i}": i for i in range(20)}, "k3": 33, "new": 1}
+    # folders of other buckets are those of the version before, which can still be read
+    after = t.at.state()["rows"]["folders"]
+    assert sum(state["rows"]["folders"][b] == f for b, f in after.items() if b in state["rows"]["folders"]) >= 2
+    assert {r.v for r in t.at.read(state, "rows").collect()} == set(range(20))
+    with pytest.raises(Conflict):
+        t.at.commit(before, state)
+    t.at.vacuum()
+    assert {r.k: r.v for r in t.read().collect()} == got and t.at.version() == before + 1
 
 
 def test_pages(spark):
