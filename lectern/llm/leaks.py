@@ -27,7 +27,7 @@ from lectern.session import spread, written
 RUN = 13
 SHINGLE = 5
 RUN_SHINGLE = 8
-SMALLEST, LARGEST = 16, 256
+SMALLEST, LARGEST = 16, 64
 MISS = 1e-4
 BITS = 22
 KEY_BITS = 24
@@ -45,7 +45,7 @@ def hashes_for(size: int, run: int = RUN) -> int:
 
 
 def _shingles(h: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """32-bit values of the shingles that start at each word; the greatest where none does."""
+    """32-bit values of the shingles that start at each word, or, where none does, of the text's last."""
     n = len(h)
     s = np.zeros(n, U)
     if n >= SHINGLE:
@@ -53,17 +53,17 @@ def _shingles(h: np.ndarray, start: np.ndarray) -> np.ndarray:
         for j in range(SHINGLE):
             s[:m] = mix(s[:m] ^ (h[j : m + j] + U(j + 1)))
     last = np.repeat(start[1:], np.diff(start)) - SHINGLE
-    return np.where(np.arange(n) <= last, (s >> U(32)).astype(np.uint32), np.uint32(0xFFFFFFFF))
+    return (s >> U(32)).astype(np.uint32)[np.minimum(np.arange(n), last)]
 
 
 def _signatures(x: np.ndarray, cuts: np.ndarray, size: int, count: int) -> Iterator[np.ndarray]:
     """One 64-bit key per block of shingles and min-hash; blocks start at ``cuts``."""
     seeds = mix(np.arange(1, 2 * count + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(size))
     mul, xor = (seeds[:count] | U(1)).astype(np.uint32), (seeds[count:] >> U(32)).astype(np.uint32)
-    none = x == 0xFFFFFFFF
+    y = np.empty_like(x)
     for i in range(count):
-        y = (x ^ xor[i]) * mul[i]
-        y[none] = 0xFFFFFFFF
+        np.bitwise_xor(x, xor[i], out=y)
+        np.multiply(y, mul[i], out=y)
         yield np.minimum.reduceat(y, cuts)
 
 
