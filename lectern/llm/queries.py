@@ -66,6 +66,17 @@ def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return most_similar(_t(spark, sf, "chunks"))
 
 
+def p5_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Greedy graph search: every twentieth vector of ``embeddings`` against all of them."""
+    from lectern.llm.neighbours import nearest, search, to_vectors
+
+    e = _t(spark, sf, "embeddings")
+    vectors, graph = nearest(e, "vec_id", "embedding")
+    nodes = vectors.groupBy(F.col("vid").alias("id")).agg(F.min("q").alias("q"))
+    asked = vectors.where("key % 20 = 0").select(F.col("key").alias("query"), "q")
+    return to_vectors(search(asked, nodes, graph), vectors).select(F.col("query").alias("query_id"), F.col("key").alias("vec_id"), F.col("sim").cast("double").alias("sim"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     from lectern.llm.canonical import match_references
 

@@ -106,7 +106,7 @@ SQL["listing_total"] = "SELECT count(*) AS n_sermons FROM (SELECT DISTINCT coale
 SQL["latest_dates_dow"] = "SELECT DISTINCT CAST(date_numeric AS BIGINT) AS date_numeric FROM chunks WHERE day_of_week = 'wednesday' AND date_numeric > 0 ORDER BY 1 DESC LIMIT 12"
 for name, cond in {
     "filter_year": "year = 2021",
-    "filter_day": "date_numeric = 20220102",
+    "filter_day": "date_numeric = 20220731",
     "filter_range": "date_numeric BETWEEN 20210601 AND 20220531",
     "filter_dow": "day_of_week = 'sunday'",
     "filter_source": f"chunk_type IN {SERMON_TYPES} AND year = 2020 AND day_of_week = 'sunday'",

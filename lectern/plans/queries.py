@@ -207,7 +207,7 @@ def _filtered(where):
 
 
 REGISTRY["filter_year"] = _filtered(filters.year_filter(2021))
-REGISTRY["filter_day"] = _filtered(filters.day_filter(20220102))
+REGISTRY["filter_day"] = _filtered(filters.day_filter(20220731))
 REGISTRY["filter_range"] = _filtered(filters.range_filter(20210601, 20220531))
 REGISTRY["filter_dow"] = _filtered(filters.weekday_filter("Sunday"))
 REGISTRY["filter_source"] = _filtered(filters.merge_filters(filters.source_filter("sermon"), filters.year_filter(2020), None, {"$and": [{"day_of_week": {"$eq": "sunday"}}]}))

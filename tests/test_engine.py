@@ -111,7 +111,7 @@ def test_lesson_grammar():
 def test_noise_lines(spark):
     from lectern.functions.text import clean_noise
 
-    cases = {"<John 3:16> “ Well ” 말씀 {note} ok": "[John 3:16] Well ok", "it's 'so' .": "it's so .", "end . . . more": "end. more", "a , ; b": "a b", "【x】 \"\" y": "x y", "Done. .,": "Done.", "": ""}
+    cases = {"<John 3:16> “ Well ” 말씀 {note} ok": "[John 3:16] Well ok", "it's 'so' ' .": "it's 'so' .", "end . . . more": "end . more", "end... more": "end. more", "a , ; b": "a b", "【x】 \"\" y": "x y", "Done. .,": "Done.", "": ""}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.c for r in df.select("t", clean_noise("t").alias("c")).collect()} == cases
 
