@@ -55,7 +55,7 @@ class Effort:
 
 
 #: Enough to find vectors that resemble each other closely; those that don't hardly lead to them.
-CLOSE = Effort(least=0.5)
+CLOSE = Effort(trees=4, base=150_000, least=0.5)
 #: For the nearest of any vector, however far they are.
 FULL = Effort(16, 3, 3, 300, 16, 2)
 EDGE = "id long, nbr long, sim float"
@@ -358,6 +358,11 @@ def close_pairs(records: DataFrame, key: str = "chunk_id", vector: str = "embedd
     return near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
+def to_vectors(found: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query, key, sim): the records of the nodes that a search has found."""
+    return found.join(vectors.select(F.col("vid").alias("id"), "key"), "id").select("query", "key", "sim")
+
+
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int = 64, k: int = 5, beam: int = 16, rounds: int = 5, starts: int = 24) -> DataFrame:
     """(query, id, sim): about the k most similar nodes of each query (query, q), by greedy search.
 
