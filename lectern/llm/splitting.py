@@ -33,7 +33,7 @@ def boundaries(records: DataFrame, key: str, text: str, limit: int, overlap: int
     newlines = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
     kinds = F.transform("w", lambda t: F.when(newlines(t) >= 2, 2).when(F.rlike(t, F.lit(SENTENCE_END)), 1).otherwise(0))
     one = one.select("_k", F.size("w").alias("n"), kinds.alias("kind"))
-    each = one.select("_k", "n", F.posexplode("kind").alias("i", "kind")).select("_k", "n", (F.col("i") + 1).alias("pos"), "kind")
+    each = one.select("_k", "n", F.posexplode_outer("kind").alias("i", "kind")).where("i is not null").select("_k", "n", (F.col("i") + 1).alias("pos"), "kind")
     natural = each.where("kind > 0")
     start = one.select("_k", "n", F.lit(overlap).alias("pos"), F.lit(-1).alias("kind"))
     ends = one.select("_k", "n", F.col("n").alias("pos"), F.lit(0).alias("kind"))
