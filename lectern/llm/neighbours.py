@@ -55,7 +55,7 @@ class Effort:
 
 
 #: Enough to find vectors that resemble each other closely; those that don't hardly lead to them.
-CLOSE = Effort(trees=4, base=150_000, least=0.5)
+CLOSE = Effort(trees=4, base=150_000, least=0.6)
 #: For the nearest of any vector, however far they are.
 FULL = Effort(16, 3, 3, 300, 16, 2)
 EDGE = "id long, nbr long, sim float"
